@@ -83,8 +83,13 @@ def detect_language(df: DataFrame, text: str, language: str = "language", confid
     per farming term that occurs, capped at 1. The highest score above 0.1
     wins, earlier language first on a tie; otherwise English.
     """
+    listed = [word for lists in (COMMON_WORDS, FARM_TERMS) for entries in lists.values() for word in entries]
+    # One pass over the text's words keeps the few that are in any list.
     scored = df.withColumn("_lowered", strip(F.lower(F.coalesce(F.col(text), F.lit(""))))).withColumn(
-        "_words", F.array_distinct(F.regexp_extract_all("_lowered", F.lit(WORD), F.lit(0)))
+        "_words",
+        F.array_intersect(
+            F.regexp_extract_all("_lowered", F.lit(WORD), F.lit(0)), _literals(list(dict.fromkeys(listed)))
+        ),
     )
     lowered, word_set = F.col("_lowered"), F.col("_words")
     scores = {}
@@ -116,16 +121,19 @@ def detection_method(confidence: Column) -> Column:
     return F.when(confidence >= CONFIDENT, "pattern").otherwise("fallback")
 
 
-def detect_language_simple(text: Column) -> Column:
-    """Language by substring counts; at least two hits are needed, Twi letters decide at once."""
-    lowered = F.lower(text)
-    counts = {code: _letter_hits(lowered, entries) for code, entries in SIMPLE_WORDS.items()}
-    best = F.greatest(*counts.values())
+def detect_language_simple(df: DataFrame, text: str, language: str = "language") -> DataFrame:
+    """Add the language by substring counts; at least two hits are needed, Twi
+    letters decide at once."""
+    counted = df.withColumn("_lowered", F.lower(text)).withColumns(
+        {f"_hits_{code}": _letter_hits(F.col("_lowered"), entries) for code, entries in SIMPLE_WORDS.items()}
+    )
+    counts = {code: F.col(f"_hits_{code}") for code in SIMPLE_WORDS}
+    counted = counted.withColumn("_most", F.greatest(*counts.values()))
     has_letter = F.lit(False)
     for letter in SIMPLE_TWI_LETTERS:
-        has_letter = has_letter | F.contains(text, F.lit(letter))
-    winner = F.when(text.isNull() | (text == ""), F.lit("en")).when(has_letter, F.lit("tw"))
-    winner = winner.when(best < SIMPLE_MIN_HITS, F.lit("en"))
+        has_letter = has_letter | F.contains(F.col(text), F.lit(letter))
+    winner = F.when(F.col(text).isNull() | (F.col(text) == ""), F.lit("en")).when(has_letter, F.lit("tw"))
+    winner = winner.when(F.col("_most") < SIMPLE_MIN_HITS, F.lit("en"))
     for code, count in counts.items():
-        winner = winner.when(count == best, F.lit(code))
-    return winner
+        winner = winner.when(count == F.col("_most"), F.lit(code))
+    return counted.withColumn(language, winner).drop("_lowered", "_most", *[f"_hits_{code}" for code in counts])

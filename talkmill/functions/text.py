@@ -14,11 +14,16 @@ from talkmill.functions.stopwords import ENGLISH_STOP_WORDS
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 BLANK = r"[\s\p{Z}]"
+# The characters Unicode-aware string libraries strip.
+WHITESPACE = (
+    "\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove surrounding whitespace of every kind, line ends included."""
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def words(text: Column) -> Column:

@@ -42,22 +42,28 @@ def parse_transcript(replies: DataFrame, reply: str = "reply") -> DataFrame:
     last_text = F.try_element_at(
         F.transform(text_lines, lambda line: strip(F.replace(line, F.lit(TEXT_MARK), F.lit("")))), F.lit(-1)
     )
-    marked = F.coalesce(F.col("_marked"), F.lit("")) != ""
-    text = F.when(marked, F.col("_marked")).otherwise(F.col("_reply"))
-    language = F.when(marked, F.coalesce(F.try_element_at(codes, F.lit(-1)), F.lit("en"))).otherwise(
-        detect_language_simple(F.col("_reply"))
-    )
+    unmarked = F.coalesce(F.col("_marked"), F.lit("")) == ""
     failed = (F.col("_text") == "") | (F.col("_text") == FAILED)
-    return (
+    parsed = (
         replies.withColumn("_reply", strip(F.coalesce(F.col(reply), F.lit(""))))
         .withColumn("_lines", lines)
-        .withColumn("_marked", last_text)
-        .withColumns({"_text": text, "language": language})
+        .withColumns({"_marked": last_text, "_code": F.try_element_at(codes, F.lit(-1))})
+        .withColumns(
+            {
+                "_text": F.when(unmarked, F.col("_reply")).otherwise(F.col("_marked")),
+                # the simple rule only has to read replies without a transcription line
+                "_unmarked": F.when(unmarked, F.col("_reply")),
+            }
+        )
+    )
+    return (
+        detect_language_simple(parsed, "_unmarked", "_guess")
         .withColumns(
             {
                 "text": F.when(failed, "").otherwise(F.col("_text")),
+                "language": F.when(unmarked, F.col("_guess")).otherwise(F.coalesce("_code", F.lit("en"))),
                 "error": F.when(failed, F.lit(UNCLEAR)),
             }
         )
-        .drop("_reply", "_lines", "_marked", "_text")
+        .drop("_reply", "_lines", "_marked", "_code", "_text", "_unmarked", "_guess")
     )

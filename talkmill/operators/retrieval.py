@@ -44,11 +44,11 @@ def precision_at_k(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 
 def overlap_at_k(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """Share of each question's k results that both lists have."""
-    shared = left.select("query_id", "doc_id").join(right.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-    hits = shared.groupBy("query_id").agg(F.count(F.lit(1)).alias("shared"))
+    other = right.select("query_id", "doc_id", F.lit(1).alias("_both"))
     return (
-        left.select("query_id").distinct().join(hits, "query_id", "left")
-        .select("query_id", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
+        left.join(other, ["query_id", "doc_id"], "left")
+        .groupBy("query_id")
+        .agg(F.count("_both").alias("shared"))
         .withColumn("overlap", F.round(F.col("shared") / F.lit(float(k)), 6))
     )
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.stopwords import ENGLISH_STOP_WORDS
@@ -66,13 +66,16 @@ class TfidfModel:
 def fit(
     docs: DataFrame, key: str = "id", text: str = "question", stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS
 ) -> TfidfModel:
-    """Fit the model over a collection and write it to the shared folder."""
+    """Fit the model over a collection and write it to the shared folder.
+
+    The texts are shuffled and tokenised once: the token counts are written
+    bucketed by document, and idf and weights are read off that table.
+    """
     spark = docs.sparkSession
     folder = scratch_path(spark, "tfidf")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # One shuffle of the texts by document; token counts and norms then stay in place.
     placed = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartition(buckets, "doc_id")
-    counts = term_counts(placed, "doc_id", "text", stop_words)
+    counts = _bucketed(term_counts(placed, "doc_id", "text", stop_words), f"{folder}/counts", buckets)
     documents = docs.count()
 
     inverse_document_frequency(counts, documents).write.parquet(f"{folder}/idf")
@@ -83,24 +86,33 @@ def fit(
     weighted = lookup_join(
         counts, idf.select("term", "idf"), "term", lookup_rows=terms, hot=hot, spread_by="doc_id", salts=buckets
     ).withColumn("w", F.col("tf") * F.col("idf"))
-    table = f"tfidf_{uuid.uuid4().hex}"
-    (
-        unit_weights(weighted, "doc_id")
-        .write.bucketBy(buckets, "doc_id")
-        .option("path", f"{folder}/weights")
-        .saveAsTable(table)
-    )
-    return TfidfModel(idf, spark.table(table), terms, postings, documents)
+    weights = _bucketed(unit_weights(weighted, "doc_id"), f"{folder}/weights", buckets)
+    return TfidfModel(idf, weights, terms, postings, documents)
 
 
-def question_weights(model: TfidfModel, questions: DataFrame, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """(query_id, term, weight) of the questions; terms the collection lacks are ignored."""
-    counts = term_counts(questions.where(F.col("query") != ""), "query_id", "query", stop_words)
-    weighted = lookup_join(
-        counts, model.idf.select("term", "idf"), "term",
-        lookup_rows=model.terms, hot=model.hot_terms(), spread_by="query_id",
-    ).withColumn("w", F.col("tf") * F.col("idf"))
-    return unit_weights(weighted, "query_id")
+def _bucketed(rows: DataFrame, path: str, buckets: int) -> DataFrame:
+    """Write rows bucketed by document, so that later grouping by document needs no shuffle."""
+    spark, name = rows.sparkSession, f"tfidf_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "doc_id").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def question_terms(questions: DataFrame, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> DataFrame:
+    """(query_id, term, tf) of the questions; an empty question has no terms."""
+    return term_counts(questions.where(F.col("query") != ""), "query_id", "query", stop_words)
+
+
+def question_weights(model: TfidfModel, counts: DataFrame, rows: int) -> DataFrame:
+    """(query_id, term, weight) from the ``rows`` term counts of the questions;
+    terms the collection lacks are ignored."""
+    idf = model.idf.select("term", "idf")
+    if rows <= BROADCAST_ROWS:
+        known = idf.join(F.broadcast(counts), "term")
+    else:
+        known = lookup_join(
+            counts, idf, "term", lookup_rows=model.terms, hot=model.hot_terms(), spread_by="query_id"
+        )
+    return unit_weights(known.withColumn("w", F.col("tf") * F.col("idf")), "query_id")
 
 
 def best_k(scores: DataFrame, k: int) -> DataFrame:
@@ -115,10 +127,11 @@ def search(model: TfidfModel, questions: DataFrame, k: int = 8) -> DataFrame:
     Cosine of unit vectors is the sum of products over shared terms. Scores are
     rounded before ranking so that equal texts tie exactly.
     """
-    terms = question_weights(model, questions).withColumnRenamed("weight", "wq")
+    counts = question_terms(questions)
+    rows = counts.count()
+    terms = question_weights(model, counts, rows).withColumnRenamed("weight", "wq")
     matched = lookup_join(
-        model.weights, terms, "term",
-        lookup_rows=terms.count(), hot=model.hot_terms(), spread_by="doc_id",
+        model.weights, terms, "term", lookup_rows=rows, hot=model.hot_terms(), spread_by="doc_id"
     )
     scores = matched.groupBy("query_id", "doc_id").agg(
         F.round(F.sum(F.col("wq") * F.col("weight")), SCORE_DIGITS).alias("score")
@@ -134,15 +147,20 @@ def search_filled(model: TfidfModel, questions: DataFrame, docs: DataFrame, k: i
     highest ids always suffice.
     """
     found = search(model, questions, k)
+    # at most k hits per question
+    hits = found.groupBy("query_id").agg(F.collect_list(F.struct("doc_id", "score")).alias("_hits"))
     highest = docs.select(F.col(key).alias("doc_id")).orderBy(F.desc("doc_id")).limit(2 * k)
     ids = highest.agg(F.collect_list("doc_id")).scalar()
-    fill = (
+    hit_ids = F.coalesce(F.col("_hits.doc_id"), F.array().cast("array<long>"))
+    fill = F.transform(F.array_except("_ids", hit_ids), lambda doc: F.struct(doc.alias("doc_id"), F.lit(0.0).alias("score")))
+    rows = (
         questions.where(F.col("query") != "")
-        .select("query_id", F.explode(ids).alias("doc_id"))
-        .join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-        .withColumn("score", F.lit(0.0))
+        .select("query_id")
+        .join(hits, "query_id", "left")
+        .withColumn("_ids", ids)
+        .select("query_id", F.inline(F.when(F.col("_hits").isNull(), fill).otherwise(F.concat("_hits", fill))))
     )
-    return best_k(found.select("query_id", "doc_id", "score").unionByName(fill), k)
+    return best_k(rows, k)
 
 
 def with_chunks(results: DataFrame, docs: DataFrame, result_rows: int, key: str = "id") -> DataFrame:

@@ -358,9 +358,8 @@ def _detect_language(spark, folder):
 
 @query
 def _detect_language_simple(spark, folder):
-    return table(spark, folder, "documents").select(
-        F.col("doc_id").alias("id"), detect_language_simple(F.col("text")).alias("language")
-    )
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return detect_language_simple(documents, "text").select("id", "language")
 
 
 

@@ -9,6 +9,7 @@ from talkmill.functions.language import detect_language
 from talkmill.operators.retrieval import SYSTEM_PROMPT, context_text, prompts
 from talkmill.operators.tfidf import TfidfModel, search_filled, with_chunks
 from talkmill.operators.translation import translate_to_english
+from talkmill.session import cut_lineage
 
 
 def answer_prompts(
@@ -18,7 +19,8 @@ def answer_prompts(
     """(query_id, language, prompt): the prompt shows the question as asked,
     retrieval sees its English form."""
     detected = detect_language(questions.where(F.col("query") != ""), "query")
-    english = translate_to_english(detected, memory, text="query", language="language")
+    # read several times below: written once instead of detected and translated again
+    english = cut_lineage(translate_to_english(detected, memory, text="query", language="language"))
     asked = english.select("query_id", F.col("english").alias("query"))
     results = search_filled(model, asked, kb, k)
     contexts = context_text(with_chunks(results, kb, k * asked.count()))
