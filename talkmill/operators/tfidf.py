@@ -18,11 +18,15 @@ from pyspark.sql import functions as F
 from talkmill.functions.stopwords import ENGLISH_STOP_WORDS
 from talkmill.functions.text import TOKEN
 from talkmill.operators.joins import BROADCAST_ROWS, lookup_join
-from talkmill.session import scratch_path
+from talkmill.session import cut_lineage, scratch_path
 
 # At most this many terms can each hold more than 1/HOT_TERMS of all postings.
 HOT_TERMS = 2000
 SCORE_DIGITS = 6
+# Two rounding steps of a score; a bound has to miss by more to rule a document out.
+MARGIN = 2 * 10.0**-SCORE_DIGITS
+# Pairs of questions and documents that one task may sum up without pruning.
+DIRECT_PAIRS_PER_TASK = 20_000_000
 
 
 def term_counts(texts: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> DataFrame:
@@ -130,13 +134,88 @@ def search(model: TfidfModel, questions: DataFrame, k: int = 8) -> DataFrame:
     counts = question_terms(questions)
     rows = counts.count()
     terms = question_weights(model, counts, rows).withColumnRenamed("weight", "wq")
+    if _few_pairs(model, counts, rows):
+        sums = _partial_scores(model, terms, rows)
+    else:
+        sums = _pruned_scores(model, terms, rows, k)
+    return best_k(sums.withColumn("score", F.round("score", SCORE_DIGITS)), k)
+
+
+def _few_pairs(model: TfidfModel, counts: DataFrame, rows: int) -> bool:
+    """Whether scoring every (question, document) pair with a shared term is affordable."""
+    limit = DIRECT_PAIRS_PER_TASK * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows * model.documents <= limit:
+        return True
+    asked = counts.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    pairs = asked.join(model.idf, "term").agg(F.sum(F.col("n") * F.col("df"))).first()[0]
+    return (pairs or 0) <= limit
+
+
+def _partial_scores(model: TfidfModel, terms: DataFrame, rows: int) -> DataFrame:
+    """(query_id, doc_id, score): sums of products over the given question terms."""
     matched = lookup_join(
-        model.weights, terms, "term", lookup_rows=rows, hot=model.hot_terms(), spread_by="doc_id"
+        model.weights, terms.select("query_id", "term", "wq"), "term",
+        lookup_rows=rows, hot=model.hot_terms(), spread_by="doc_id",
+    )
+    return matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))
+
+
+def _pruned_scores(model: TfidfModel, terms: DataFrame, rows: int, k: int) -> DataFrame:
+    """Scores of all documents that can be among the best k, found by score bounds.
+
+    A term adds at most ``wq`` times its largest weight, and the k-th largest
+    weight of any one term already guarantees k documents a score (the floor).
+    Terms whose bounds together stay below the floor cannot bring a document in
+    on their own, so only the other terms are matched with all their documents.
+    Of those documents only the ones that can still reach the k-th best sum are
+    completed. The margin covers rounding, so the ranking is that of full scoring.
+    """
+    asked = terms.select("term").distinct()
+    by_weight = Window.partitionBy("term").orderBy(F.desc("weight"))
+    largest = (
+        lookup_join(
+            model.weights.select("doc_id", "term", "weight"), asked, "term",
+            lookup_rows=rows, hot=model.hot_terms(), spread_by="doc_id",
+        )
+        .withColumn("_place", F.row_number().over(by_weight))
+        .where(F.col("_place") <= k)
+        .groupBy("term")
+        .agg(F.max("weight").alias("top"), F.when(F.count(F.lit(1)) == k, F.min("weight")).otherwise(0.0).alias("kth"))
+    )
+    question = Window.partitionBy("query_id")
+    rising = question.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    bounded = (
+        terms.join(largest, "term")
+        .withColumns({"bound": F.col("wq") * F.col("top"), "floor": F.max(F.col("wq") * F.col("kth")).over(question)})
+        .withColumn("upto", F.sum("bound").over(rising))
+        .withColumn("leads", F.col("upto") >= F.col("floor") - MARGIN)
+        .withColumn("spare", F.coalesce(F.max(F.when(~F.col("leads"), F.col("upto"))).over(question), F.lit(0.0)))
+        .select("query_id", "term", "wq", "leads", "spare")
     )
-    scores = matched.groupBy("query_id", "doc_id").agg(
-        F.round(F.sum(F.col("wq") * F.col("weight")), SCORE_DIGITS).alias("score")
+    bounded = cut_lineage(bounded)
+    spare = bounded.groupBy("query_id").agg(F.max("spare").alias("spare"))
+
+    sums = _partial_scores(model, bounded.where("leads"), rows)
+    bar = best_k(sums, k).groupBy("query_id").agg(
+        F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("bar")
+    )
+    reach = cut_lineage(spare.join(bar, "query_id"))
+    if rows <= BROADCAST_ROWS:  # one row per question, fewer than terms
+        reach = F.broadcast(reach)
+    able = cut_lineage(
+        sums.join(reach, "query_id")
+        .where(F.col("score") + F.col("spare") >= F.col("bar") - MARGIN)
+        .select("query_id", "doc_id", "score")
+    )
+
+    missing = able.select("query_id", "doc_id").join(bounded.where(~F.col("leads")), "query_id")
+    missing = missing.select("query_id", "doc_id", "term", "wq")
+    if missing.count() <= BROADCAST_ROWS:
+        missing = F.broadcast(missing)
+    rest = model.weights.join(missing, ["doc_id", "term"]).select(
+        "query_id", "doc_id", (F.col("wq") * F.col("weight")).alias("score")
     )
-    return best_k(scores, k)
+    return able.unionByName(rest).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
 
 def search_filled(model: TfidfModel, questions: DataFrame, docs: DataFrame, k: int = 8, key: str = "id") -> DataFrame:

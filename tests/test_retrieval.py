@@ -118,6 +118,26 @@ def test_hot_terms_beyond_the_broadcast_limit(spark, monkeypatch):
     assert as_lists(search(model, spark.createDataFrame(asked, "query_id long, query string"), 4)) == expected
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+@pytest.mark.parametrize("seed", range(2))
+def test_pruned_search_equals_brute_force(spark, monkeypatch, broadcast, seed):
+    """Skewed vocabulary with very frequent terms in documents and questions, and exact copies."""
+    import random
+
+    pick = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(60)]
+    odds = [1 / (i + 1) for i in range(60)]
+    rows = [(i, " ".join(pick.choices(vocabulary, odds, k=pick.randrange(1, 25))), "a", "s") for i in range(250)]
+    rows += [(250 + i, rows[7][1], "a", "s") for i in range(40)]
+    asked = [(q, " ".join(pick.choices(vocabulary, odds, k=pick.randrange(1, 9)))) for q in range(40)]
+    monkeypatch.setattr(tfidf, "DIRECT_PAIRS_PER_TASK", 0)
+    monkeypatch.setattr(tfidf, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
+    model = fit(spark.createDataFrame(rows, "id long, question string, answer string, source string"))
+    found = as_lists(search(model, spark.createDataFrame(asked, "query_id long, query string"), 5))
+    assert found == brute_force(rows, asked, 5)
+
+
 def test_scores_are_not_shuffled_per_pair(model, questions):
     plan = search(model, questions, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan
