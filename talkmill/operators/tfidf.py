@@ -27,6 +27,7 @@ SCORE_DIGITS = 6
 MARGIN = 2 * 10.0**-SCORE_DIGITS
 # Pairs of questions and documents that one task may sum up without pruning.
 DIRECT_PAIRS_PER_TASK = 20_000_000
+MIN_DOCUMENTS_PER_BUCKET = 250
 
 
 def term_counts(texts: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> DataFrame:
@@ -77,10 +78,12 @@ def fit(
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "tfidf")
+    documents = docs.count()
+    # as many buckets as shuffles have partitions, fewer for a small collection
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, min(buckets, -(-documents // MIN_DOCUMENTS_PER_BUCKET)))
     placed = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartition(buckets, "doc_id")
     counts = _bucketed(term_counts(placed, "doc_id", "text", stop_words), f"{folder}/counts", buckets)
-    documents = docs.count()
 
     inverse_document_frequency(counts, documents).write.parquet(f"{folder}/idf")
     idf = spark.read.parquet(f"{folder}/idf")

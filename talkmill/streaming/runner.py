@@ -25,8 +25,9 @@ _STATE = {
 def stream_session(spark: SparkSession) -> SparkSession:
     """A session of the same application with the settings streams need."""
     session = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        session.conf.set(key, spark.conf.get(key))
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    # state partitions cannot change later and each is a store of its own: follow the cores
+    session.conf.set("spark.sql.shuffle.partitions", str(2 * spark.sparkContext.defaultParallelism))
     for key, value in _STATE.items():
         session.conf.set(key, value)
     return session
