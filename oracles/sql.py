@@ -124,12 +124,12 @@ def keyword_ctes(source: str = "(SELECT item_id AS query_id, text AS query FROM
         FROM doc_weights d JOIN query_weights q USING (term) GROUP BY query_id, doc_id),
     keyword AS (
         SELECT * FROM (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM keyword_scores)
+            SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC))::INTEGER AS rank FROM keyword_scores)
         WHERE rank <= 8),
     filled AS (
         SELECT * FROM (
             SELECT query_id, doc_id, coalesce(score, 0.0) AS score,
-                   row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0.0) DESC, doc_id DESC) AS rank
+                   (row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0.0) DESC, doc_id DESC))::INTEGER AS rank
             FROM (SELECT query_id, doc_id FROM {source} CROSS JOIN documents WHERE query <> '')
             LEFT JOIN keyword_scores USING (query_id, doc_id))
         WHERE rank <= 8)
@@ -147,7 +147,7 @@ def semantic_cte(k: int, same_user: bool = False) -> str:
     semantic AS (
         SELECT * FROM (
             SELECT query_id, id, label, wanted, distance,
-                   row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
+                   (row_number() OVER (PARTITION BY query_id ORDER BY distance, id))::INTEGER AS rank
             FROM (SELECT query_id, vec_id AS id, label, wanted,
                          round(list_cosine_distance(embedding::DOUBLE[], qv), 6) AS distance
                   FROM embeddings CROSS JOIN question_vectors {"WHERE label = wanted" if same_user else ""}))
@@ -297,7 +297,7 @@ def _statements() -> dict[str, str]:
     )
     sql["history_all"] = with_views(
         f"""SELECT {history_columns}, rank FROM (
-                SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC NULLS FIRST, id DESC) AS rank
+                SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC NULLS FIRST, id DESC))::INTEGER AS rank
                 FROM messages) WHERE rank <= 10""",
         "messages",
     )
@@ -312,8 +312,8 @@ def _statements() -> dict[str, str]:
     sql["last_message"] = with_views(last.format(source="convs", extra=""), "convs")
     sql["recent_conversations"] = with_views(
         last.format(
-            source="""(SELECT * FROM (SELECT *, row_number() OVER (
-                PARTITION BY user_id ORDER BY started_at DESC NULLS FIRST, id DESC) AS rank FROM convs) WHERE rank <= 10)""",
+            source="""(SELECT * FROM (SELECT *, (row_number() OVER (
+                PARTITION BY user_id ORDER BY started_at DESC NULLS FIRST, id DESC))::INTEGER AS rank FROM convs) WHERE rank <= 10)""",
             extra=", c.rank",
         ),
         "convs",
@@ -560,7 +560,7 @@ def _statements() -> dict[str, str]:
                    round(coalesce(1.0::DOUBLE / (60 + k.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0), 6) AS score
             FROM keyword k FULL JOIN (SELECT query_id, id AS doc_id, rank FROM semantic) s USING (query_id, doc_id))
         SELECT query_id, rank, doc_id, keyword_rank, semantic_rank, score FROM (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM fused)
+            SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC))::INTEGER AS rank FROM fused)
         WHERE rank <= 8
     """
     sql["precision_at_k"] = f"""
