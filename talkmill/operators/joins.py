@@ -5,22 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup side of at most this many rows is broadcast; the caller has counted it.
-BROADCAST_ROWS = 1_000_000
+# A side of at most this many measured bytes is broadcast.
+BROADCAST_BYTES = 128 * 1024 * 1024
+# What a broadcast row takes besides its text.
+ROW_BYTES = 48
+
+
+def measured_bytes(rows: DataFrame, *texts: str) -> int:
+    """Bytes of the rows: their texts and a fixed amount each, by one small aggregate."""
+    size = F.lit(ROW_BYTES)
+    for text in texts:
+        size = size + F.octet_length(text)
+    return rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
+def broadcast_if(rows: DataFrame, size: int) -> DataFrame:
+    """Broadcast rows of a measured size when that is small enough."""
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
 
 
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, key: str, *, lookup_rows: int, hot: DataFrame, spread_by: str,
+    rows: DataFrame, lookup: DataFrame, key: str, *, lookup_bytes: int, hot: DataFrame, spread_by: str,
     salts: int | None = None,
 ) -> DataFrame:
     """Inner join of a large table with a lookup table that may be large too.
 
-    A lookup of at most ``BROADCAST_ROWS`` counted rows is broadcast. Beyond
+    A lookup of at most ``BROADCAST_BYTES`` measured bytes is broadcast. Beyond
     that both sides are shuffled by key, and the rows of the ``hot`` keys (a
     bounded list, columns ``key``) are spread over ``salts`` partitions by
     ``spread_by`` while their lookup rows are repeated once per salt.
     """
-    if lookup_rows <= BROADCAST_ROWS:
+    if lookup_bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(lookup), key)
     salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marks = F.broadcast(hot.select(key).distinct().withColumn("_hot", F.lit(True)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from talkmill.functions.stopwords import ENGLISH_STOP_WORDS
 from talkmill.functions.text import TOKEN
-from talkmill.operators.joins import BROADCAST_ROWS, lookup_join
+from talkmill.operators.joins import BROADCAST_BYTES, ROW_BYTES, broadcast_if, lookup_join, measured_bytes
 from talkmill.session import cut_lineage, scratch_path
 
 # At most this many terms can each hold more than 1/HOT_TERMS of all postings.
@@ -59,7 +59,7 @@ class TfidfModel:
 
     idf: DataFrame  # term, df, idf
     weights: DataFrame  # doc_id, term, weight
-    terms: int
+    idf_bytes: int
     postings: int
     documents: int
 
@@ -87,14 +87,15 @@ def fit(
 
     inverse_document_frequency(counts, documents).write.parquet(f"{folder}/idf")
     idf = spark.read.parquet(f"{folder}/idf")
-    terms, postings = idf.agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))).first()
+    idf_bytes = measured_bytes(idf, "term")
+    postings = idf.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     hot = idf.where(F.col("df") > postings / HOT_TERMS)
 
     weighted = lookup_join(
-        counts, idf.select("term", "idf"), "term", lookup_rows=terms, hot=hot, spread_by="doc_id", salts=buckets
+        counts, idf.select("term", "idf"), "term", lookup_bytes=idf_bytes, hot=hot, spread_by="doc_id", salts=buckets
     ).withColumn("w", F.col("tf") * F.col("idf"))
     weights = _bucketed(unit_weights(weighted, "doc_id"), f"{folder}/weights", buckets)
-    return TfidfModel(idf, weights, terms, postings, documents)
+    return TfidfModel(idf, weights, idf_bytes, postings, documents)
 
 
 def _bucketed(rows: DataFrame, path: str, buckets: int) -> DataFrame:
@@ -109,15 +110,21 @@ def question_terms(questions: DataFrame, stop_words: tuple[str, ...] = ENGLISH_S
     return term_counts(questions.where(F.col("query") != ""), "query_id", "query", stop_words)
 
 
-def question_weights(model: TfidfModel, counts: DataFrame, rows: int) -> DataFrame:
-    """(query_id, term, weight) from the ``rows`` term counts of the questions;
-    terms the collection lacks are ignored."""
+def _asked_often(counts: DataFrame, rows: int) -> DataFrame:
+    """Terms that hold more than 1/HOT_TERMS of the question terms; at most HOT_TERMS."""
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows / HOT_TERMS).select("term")
+
+
+def question_weights(model: TfidfModel, counts: DataFrame, size: int) -> DataFrame:
+    """(query_id, term, weight) from the term counts of the questions (``size``
+    bytes); terms the collection lacks are ignored."""
     idf = model.idf.select("term", "idf")
-    if rows <= BROADCAST_ROWS:
+    if size <= min(model.idf_bytes, BROADCAST_BYTES):
         known = idf.join(F.broadcast(counts), "term")
     else:
         known = lookup_join(
-            counts, idf, "term", lookup_rows=model.terms, hot=model.hot_terms(), spread_by="query_id"
+            counts, idf, "term", lookup_bytes=model.idf_bytes, hot=_asked_often(counts, size // ROW_BYTES),
+            spread_by="query_id",
         )
     return unit_weights(known.withColumn("w", F.col("tf") * F.col("idf")), "query_id")
 
@@ -135,17 +142,18 @@ def search(model: TfidfModel, questions: DataFrame, k: int = 8) -> DataFrame:
     rounded before ranking so that equal texts tie exactly.
     """
     counts = question_terms(questions)
-    rows = counts.count()
-    terms = question_weights(model, counts, rows).withColumnRenamed("weight", "wq")
-    if _few_pairs(model, counts, rows):
-        sums = _partial_scores(model, terms, rows)
+    size = measured_bytes(counts, "term")
+    terms = question_weights(model, counts, size).withColumnRenamed("weight", "wq")
+    if _few_pairs(model, counts, size // ROW_BYTES):
+        sums = _partial_scores(model, terms, size)
     else:
-        sums = _pruned_scores(model, terms, rows, k)
+        sums = _pruned_scores(model, terms, size, k)
     return best_k(sums.withColumn("score", F.round("score", SCORE_DIGITS)), k)
 
 
 def _few_pairs(model: TfidfModel, counts: DataFrame, rows: int) -> bool:
-    """Whether scoring every (question, document) pair with a shared term is affordable."""
+    """Whether scoring every (question, document) pair with a shared term is
+    affordable; ``rows`` is at least the number of term counts."""
     limit = DIRECT_PAIRS_PER_TASK * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if rows * model.documents <= limit:
         return True
@@ -154,16 +162,16 @@ def _few_pairs(model: TfidfModel, counts: DataFrame, rows: int) -> bool:
     return (pairs or 0) <= limit
 
 
-def _partial_scores(model: TfidfModel, terms: DataFrame, rows: int) -> DataFrame:
+def _partial_scores(model: TfidfModel, terms: DataFrame, size: int) -> DataFrame:
     """(query_id, doc_id, score): sums of products over the given question terms."""
     matched = lookup_join(
-        model.weights, terms.select("query_id", "term", "wq"), "term",
-        lookup_rows=rows, hot=model.hot_terms(), spread_by="doc_id",
+        model.weights, terms.select("query_id", "term", "wq"), "term", lookup_bytes=size,
+        hot=model.hot_terms().select("term").unionByName(_asked_often(terms, size // ROW_BYTES)), spread_by="doc_id",
     )
     return matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))
 
 
-def _pruned_scores(model: TfidfModel, terms: DataFrame, rows: int, k: int) -> DataFrame:
+def _pruned_scores(model: TfidfModel, terms: DataFrame, size: int, k: int) -> DataFrame:
     """Scores of all documents that can be among the best k, found by score bounds.
 
     A term adds at most ``wq`` times its largest weight, and the k-th largest
@@ -178,7 +186,7 @@ def _pruned_scores(model: TfidfModel, terms: DataFrame, rows: int, k: int) -> Da
     largest = (
         lookup_join(
             model.weights.select("doc_id", "term", "weight"), asked, "term",
-            lookup_rows=rows, hot=model.hot_terms(), spread_by="doc_id",
+            lookup_bytes=size, hot=model.hot_terms(), spread_by="doc_id",
         )
         .withColumn("_place", F.row_number().over(by_weight))
         .where(F.col("_place") <= k)
@@ -198,13 +206,12 @@ def _pruned_scores(model: TfidfModel, terms: DataFrame, rows: int, k: int) -> Da
     bounded = cut_lineage(bounded)
     spare = bounded.groupBy("query_id").agg(F.max("spare").alias("spare"))
 
-    sums = _partial_scores(model, bounded.where("leads"), rows)
+    sums = _partial_scores(model, bounded.where("leads"), size)
     bar = best_k(sums, k).groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("bar")
     )
-    reach = cut_lineage(spare.join(bar, "query_id"))
-    if rows <= BROADCAST_ROWS:  # one row per question, fewer than terms
-        reach = F.broadcast(reach)
+    # one row per question, so smaller than the terms
+    reach = broadcast_if(cut_lineage(spare.join(bar, "query_id")), size)
     able = cut_lineage(
         sums.join(reach, "query_id")
         .where(F.col("score") + F.col("spare") >= F.col("bar") - MARGIN)
@@ -213,8 +220,7 @@ def _pruned_scores(model: TfidfModel, terms: DataFrame, rows: int, k: int) -> Da
 
     missing = able.select("query_id", "doc_id").join(bounded.where(~F.col("leads")), "query_id")
     missing = missing.select("query_id", "doc_id", "term", "wq")
-    if missing.count() <= BROADCAST_ROWS:
-        missing = F.broadcast(missing)
+    missing = broadcast_if(missing, measured_bytes(missing, "term"))
     rest = model.weights.join(missing, ["doc_id", "term"]).select(
         "query_id", "doc_id", (F.col("wq") * F.col("weight")).alias("score")
     )
@@ -249,4 +255,4 @@ def with_chunks(results: DataFrame, docs: DataFrame, result_rows: int, key: str
     """Attach answer text and source. The texts are read once and not shuffled
     as long as the results (``result_rows`` at most) are few enough to broadcast."""
     chunks = docs.select(F.col(key).alias("doc_id"), F.col("answer").alias("chunk"), "source")
-    return chunks.join(F.broadcast(results) if result_rows <= BROADCAST_ROWS else results, "doc_id")
+    return chunks.join(broadcast_if(results, result_rows * ROW_BYTES), "doc_id")

@@ -80,15 +80,22 @@ def without_repeats(events: DataFrame, key: str = "event_id", delay: str = WATER
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def latest_state(spark: SparkSession, routed: DataFrame, path: str, ttl: str = "24 hours") -> DataFrame:
+def latest_state(
+    spark: SparkSession, routed: DataFrame, path: str, ttl: str = "24 hours", delay: str = WATERMARK
+) -> DataFrame:
     """The newest message of every sender, kept up to date by a stream.
 
-    Each micro-batch writes the senders that changed under its own batch
-    number, so a repeated batch replaces itself. Reading takes a sender's newest row; a
-    sender is ``expired`` when ``ttl`` has passed since, by the newest event seen.
+    State is held per sender and ``ttl``-wide window, so that it is let go once the
+    watermark has passed the window. Each micro-batch writes the senders that
+    changed under its own batch number, so a repeated batch replaces itself.
+    Reading takes a sender's newest row; a sender is ``expired`` when ``ttl``
+    has passed since, by the newest event seen.
     """
     newest = F.max_by(F.struct("body", "route", "ts", "event_id"), F.struct("ts", "event_id"))
-    changed = routed.groupBy("sender").agg(newest.alias("s")).select("sender", "s.*")
+    changed = (
+        routed.withWatermark("ts", delay).groupBy("sender", F.window("ts", ttl)).agg(newest.alias("s"))
+        .select("sender", "s.*")
+    )
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")

@@ -109,8 +109,8 @@ def test_hot_terms_beyond_the_broadcast_limit(spark, monkeypatch):
     rows = [(i, f"maize {'soil' if i % 3 else 'water'} number{i} topic{i % 7}", "a", "s") for i in range(120)]
     asked = [(q, f"maize soil topic{q}") for q in range(7)]
     expected = brute_force(rows, asked, 4)
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(tfidf, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(tfidf, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(tfidf, "HOT_TERMS", 5)
     kb = spark.createDataFrame(rows, "id long, question string, answer string, source string")
     model = fit(kb)
@@ -131,8 +131,8 @@ def test_pruned_search_equals_brute_force(spark, monkeypatch, broadcast, seed):
     rows += [(250 + i, rows[7][1], "a", "s") for i in range(40)]
     asked = [(q, " ".join(pick.choices(vocabulary, odds, k=pick.randrange(1, 9)))) for q in range(40)]
     monkeypatch.setattr(tfidf, "DIRECT_PAIRS_PER_TASK", 0)
-    monkeypatch.setattr(tfidf, "BROADCAST_ROWS", broadcast)
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(tfidf, "BROADCAST_BYTES", broadcast)
     model = fit(spark.createDataFrame(rows, "id long, question string, answer string, source string"))
     found = as_lists(search(model, spark.createDataFrame(asked, "query_id long, query string"), 5))
     assert found == brute_force(rows, asked, 5)
