@@ -36,6 +36,14 @@ def top_questions(questions: DataFrame, text: str, limit: int = 20) -> DataFrame
     )
 
 
+def top_questions_approx(questions: DataFrame, text: str, limit: int = 20) -> DataFrame:
+    """The same from a sketch: one small state per task instead of one row per
+    distinct question; counts of rare questions are estimates."""
+    asked = questions.select(normalised(F.col(text)).alias("question"))
+    top = asked.agg(F.expr(f"approx_top_k(question, {int(limit)})").alias("top"))
+    return top.select(F.inline("top")).toDF("question", "times_asked")
+
+
 def latency_stats(requests: DataFrame, timings: str = "timings_ms") -> DataFrame:
     """Count, mean, percentiles and maximum per stage.
 

@@ -18,7 +18,7 @@ GROUP_SUFFIX = "@g.us"
 BROADCAST_SENDER = "status@broadcast"
 
 
-def _nth(values: tuple, position: Column) -> Column:
+def nth(values: tuple, position: Column) -> Column:
     """``values[position]`` as a CASE; an out-of-range position gives null."""
     picked = F.when(position == 0, F.lit(values[0]))
     for index, value in enumerate(values[1:], start=1):
@@ -41,7 +41,7 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
             F.col("c_custkey").alias("id"),
             F.when(F.col("c_custkey") == 0, "system").otherwise(phone(F.col("c_custkey"))).alias("phone_number"),
             F.col("c_name").alias("name"),
-            _nth(LANGUAGES, F.col("c_nationkey") % 5).alias("preferred_language"),
+            nth(LANGUAGES, F.col("c_nationkey") % 5).alias("preferred_language"),
             F.col("n_name").alias("location"),
             F.col("c_mktsegment").alias("farm_size"),
             F.array(F.lower("c_mktsegment"), F.lower("n_name")).alias("crops"),
@@ -63,7 +63,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("event_id") % 2 == 0, "incoming").otherwise("outgoing").alias("direction"),
         F.col("props").alias("content"),
         F.when(voice, F.get_json_object("props", "$.k")).alias("transcribed_text"),
-        _nth(LANGUAGES, F.col("user_id") % 6).alias("language"),
+        nth(LANGUAGES, F.col("user_id") % 6).alias("language"),
         F.col("ts").alias("created_at"),
     )
 
@@ -158,7 +158,7 @@ def inbound(events: DataFrame) -> DataFrame:
         .when(F.col("event_id") % 13 == 5, F.lit(BROADCAST_SENDER))
         .otherwise(F.concat(number, F.lit(HOST_SUFFIX)))
         .alias("sender"),
-        _nth(("/start", " HELLO ", "\n/Help", "hi", "hi there", None), F.col("event_id") % 7).alias("command"),
+        nth(("/start", " HELLO ", "\n/Help", "hi", "hi there", None), F.col("event_id") % 7).alias("command"),
         F.col("props").alias("payload"),
         F.when(kind == "view", "ptt").when(kind == "click", "audio").when(kind == "signup", "voice")
         .when(kind == "error", "image").otherwise("chat").alias("type"),
@@ -181,7 +181,7 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
     size = F.floor(F.col("value") * 100000).cast("long")
     return table(spark, folder, "events").select(
         F.col("event_id").alias("upload_id"),
-        _nth(types, F.col("event_id") % 8).alias("content_type"),
+        nth(types, F.col("event_id") % 8).alias("content_type"),
         F.when(F.col("event_id") % 17 == 0, F.lit(10485760))
         .when(F.col("event_id") % 17 == 1, F.lit(10485761))
         .otherwise(size).alias("size_bytes"),
@@ -245,8 +245,8 @@ def failures(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         "event_id",
         F.when(F.col("event_type") == "view", "voice").otherwise("text").alias("channel"),
-        _nth((None, "ECONNREFUSED", "ETIMEDOUT", "EPIPE", None, None), F.col("event_id") % 6).alias("code"),
-        _nth(
+        nth((None, "ECONNREFUSED", "ETIMEDOUT", "EPIPE", None, None), F.col("event_id") % 6).alias("code"),
+        nth(
             ("timeout of 60000ms exceeded", "connect failed", None, "Unsupported audio format: video/mp4",
              "audio transcription failed", "Request failed with status code 500", "socket hang up"),
             F.col("event_id") % 7,
@@ -263,7 +263,7 @@ def message_log(spark: SparkSession, folder: str) -> DataFrame:
         "event_id",
         phone(F.col("user_id") * 20).alias("phone_number"),
         F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("sender "), F.col("user_id").cast("string"))).alias("name"),
-        _nth(LANGUAGES, F.col("event_id") % 6).alias("language"),
+        nth(LANGUAGES, F.col("event_id") % 6).alias("language"),
         F.col("ts"),
     )
 

@@ -195,6 +195,14 @@ def test_active_sliding_counts_each_user_once(spark):
     assert found[at(0)] == 2 and found[at(-60)] == 1 and found[at(60)] == 1
 
 
+def test_top_questions_with_many_copies(spark):
+    texts = ["How?"] * 50 + [" how? "] * 30 + ["Why?"] * 20 + [f"What {i}?" for i in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    exact = [tuple(r) for r in metrics.top_questions(df, "t", 3).collect()]
+    assert exact == [("how?", 80), ("why?", 20), ("what 0?", 1)]
+    assert [tuple(r) for r in metrics.top_questions_approx(df, "t", 2).collect()] == exact[:2]
+
+
 # Knowledge base
 
 KB = [("What, then?", 'say "yes"\nor no', "a"), ("what,  THEN? ", "again", "b"), ("ab?cd e?", "", "c"), (" pad ", "x ", "d")]
