@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkmill.session import scratch_path
+from talkmill.session import cut_lineage, scratch_path
 
 BLOCK_ROWS = 2048
 QUERY_BLOCK_ROWS = 1024
@@ -187,12 +187,17 @@ class InvertedLists:
         With as many probes as lists the result is exact.
         """
         _, size = _extent(queries)
-        probed = vector_topk(self.centres, queries, probes).select("query_id", F.col("id").alias("list_id"))
+        probed = cut_lineage(
+            vector_topk(self.centres, queries, probes).select("query_id", F.col("id").alias("list_id"))
+        )
+        # at most one value per list: a literal filter prunes the partitions of the other lists
+        wanted = [row.list_id for row in probed.select("list_id").distinct().collect()]
         targets = queries.join(probed, "query_id")
         questions = (
             _rows(targets, "query_id", F.lit(None), F.col("list_id"))
             .repartition("part")
             .mapInArrow(_pack_queries, _QUERY_BLOCK)
         )
-        corpus = _rows(self.table, "id", F.lit(None), F.col("list_id")).mapInArrow(_pack_corpus, _CORPUS_BLOCK)
+        listed = self.table.where(F.col("list_id").isin(wanted))
+        corpus = _rows(listed, "id", F.lit(None), F.col("list_id")).mapInArrow(_pack_corpus, _CORPUS_BLOCK)
         return _meet(corpus, questions, k, size * probes)

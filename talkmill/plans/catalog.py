@@ -18,7 +18,7 @@ from talkmill.plans.question_flow import answer_prompts
 from talkmill.schemas import MAX_LENGTHS
 from talkmill.session import scratch_path
 from talkmill.sources import knowledge_base, views
-from talkmill.sources.tables import table
+from talkmill.sources.tables import spread, table
 from talkmill.streaming import jobs, runner
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,7 +248,7 @@ def messages_per_period(spark, folder):
 
 @query
 def top_questions(spark, folder):
-    return metrics.top_questions(views.kb(spark, folder), "question", limit=20)
+    return metrics.top_questions(_documents(spark, folder), "text", limit=20)
 
 
 @query
@@ -341,16 +341,20 @@ def request_times(spark, folder):
 
 # Language and text
 
+def _documents(spark, folder):
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
 @query
 def tokens(spark, folder):
-    return views.kb(spark, folder).select(
-        "id", F.array_join(text.tokens(F.col("question")), " ").alias("tokens")
+    return _documents(spark, folder).select(
+        F.col("doc_id").alias("id"), F.array_join(text.tokens(F.col("text")), " ").alias("tokens")
     )
 
 
 @query
 def _detect_language(spark, folder):
-    found = detect_language(views.transliterated(spark, folder), "text")
+    found = detect_language(views.transliterated(_documents(spark, folder)), "text")
     return found.select(
         "id", "language", F.round("confidence", 6).alias("confidence"), detection_method(F.col("confidence")).alias("method")
     )
@@ -359,14 +363,14 @@ def _detect_language(spark, folder):
 
 @query
 def _detect_language_simple(spark, folder):
-    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    documents = _documents(spark, folder).withColumnRenamed("doc_id", "id")
     return detect_language_simple(documents, "text").select("id", "language")
 
 
 
 @query
 def _parse_transcript(spark, folder):
-    return parse_transcript(views.asr_replies(spark, folder)).select("id", "text", "language", "error")
+    return parse_transcript(views.asr_replies(_documents(spark, folder))).select("id", "text", "language", "error")
 
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from talkmill.functions.text import normalised
 from talkmill.schemas import KNOWLEDGE_BASE
 from talkmill.session import cut_lineage
+from talkmill.sources.tables import spread
 
 DEFAULT_SOURCE = "csv:knowledge_base"
 # Fixed values.
@@ -99,7 +100,7 @@ def dedup(kb: DataFrame, order: str = "id") -> DataFrame:
     travel nor gather in one task.
     """
     digest = F.sha2(normalised(F.col("question")), 256)
-    first = kb.groupBy(digest.alias("_digest")).agg(F.min(order).alias(order)).select(order)
+    first = spread(kb.select(order, "question"), order).groupBy(digest.alias("_digest")).agg(F.min(order).alias(order)).select(order)
     return kb.join(first, order, "left_semi")
 
 

@@ -11,6 +11,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Spread a table with fewer splits than the session has cores, for costly
+    work per row. A table with more splits, as any large one, is left as it is
+    and not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def with_message_defaults(messages: DataFrame) -> DataFrame:
     """Fill the column defaults a message gets when it is stored."""
     defaults = {

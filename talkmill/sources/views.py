@@ -140,10 +140,10 @@ def question_vectors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def transliterated(spark: SparkSession, folder: str) -> DataFrame:
+def transliterated(documents: DataFrame) -> DataFrame:
     """Whole documents with five accented letters written as special letters,
     so that the letter rules of the language functions have work to do."""
-    return table(spark, folder, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("id"), F.translate("text", "çéñßü", "ɔɛŋɖɣ").alias("text")
     )
 
@@ -188,12 +188,12 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def asr_replies(spark: SparkSession, folder: str) -> DataFrame:
+def asr_replies(documents: DataFrame) -> DataFrame:
     """Speech-to-text replies wrapped around the transliterated documents."""
     text = F.col("text")
     shape = F.col("id") % 9
     marked = "TRANSCRIPTION:"
-    return transliterated(spark, folder).select(
+    return transliterated(documents).select(
         "id",
         F.when(shape == 0, F.concat(F.lit("LANGUAGE: tw\nTRANSCRIPTION: "), text))
         .when(shape == 1, F.concat(F.lit("  LANGUAGE: Twi (Akan)\n  TRANSCRIPTION:   "), text, F.lit("  ")))

@@ -231,3 +231,5 @@ def test_inverted_lists_recall(spark):
     some = {(r.query_id, r.id) for r in lists.search(wanted, 5, probes=3).collect()}
     assert len(exact & some) / len(exact) >= 0.8
     assert {(r.query_id, r.id) for r in lists.search(wanted, 5, probes=10).collect()} == exact
+    plan = lists.search(wanted.limit(1), 5, probes=1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(list_id" in plan or "PartitionFilters: [(list_id" in plan
