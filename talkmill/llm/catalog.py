@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import chat_format, quality_rules
+from talkmill.llm import byte_bpe, chat_format, quality_rules
 from talkmill.sources.tables import table
 
 
@@ -43,9 +44,19 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    bpe = byte_bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    decoded = bpe.decode(bpe.encode(table(spark, folder, "documents")))
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
+    "op4_byte_bpe": op4_byte_bpe,
 }
 
 # The same results in SQL, written from the contracts.
