@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkmill.session import cut_lineage, scratch_path
+from talkmill.session import cut_lineage, scratch_path, ship_package
 
 BLOCK_ROWS = 2048
 QUERY_BLOCK_ROWS = 1024
@@ -124,6 +124,7 @@ def _meet(corpus: DataFrame, queries: DataFrame, k: int, query_bytes: int) -> Da
 
 
 def _rows(vectors: DataFrame, key: str, owner, part) -> DataFrame:
+    ship_package(vectors.sparkSession)
     present = vectors.where(F.col("embedding").isNotNull())
     return present.select(
         part.cast("long").alias("part"), F.col(key).cast("long").alias("id"),

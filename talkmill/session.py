@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +64,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_root(spark))
     return df.checkpoint()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Arrow functions are pickled by reference to their module, which a worker can
+    only import if it has the package, wherever the driver was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):  # not when the package itself came in an archive
+        archive = os.path.join(tempfile.mkdtemp(prefix="talkmill-package-"), "talkmill.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(root)))
+        context.addPyFile(archive)
+    _shipped.add(context.applicationId)
