@@ -31,6 +31,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.session import ship_package
+
 KEPT_PIECES = 400_000
 # White space as the pattern's own engine has it: \s of other engines holds more characters.
 _SPACE_CLASSES = ((r"[^\s", r"[^\p{White_Space}"), (r"\s", r"\p{White_Space}"), (r"\S", r"\P{White_Space}"))
@@ -226,6 +228,7 @@ class ByteBpe:
     """Encodes and decodes columns with one rank file and pattern."""
 
     def __init__(self, spark, ranks_path: str, pattern: str):
+        ship_package(spark)
         self.ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
         self.pattern = pattern
 

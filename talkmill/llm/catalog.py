@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import byte_bpe, chat_format, quality_rules
+from talkmill.llm import byte_bpe, chat_format, quality_gam, quality_rules
 from talkmill.sources.tables import table
 
 
@@ -53,10 +53,23 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality score by a model that saw no label of the held-out third."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality_gam.train(docs, labels.where(quality_gam.fold(F.col("doc_id"), 3) != 1))
+    return quality_gam.score(docs, model, "doc_id").select(
+        "doc_id",
+        F.coalesce(quality_gam.fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
     "op4_byte_bpe": op4_byte_bpe,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 # The same results in SQL, written from the contracts.
