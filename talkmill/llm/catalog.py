@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import byte_bpe, chat_format, quality_gam, quality_rules
+from talkmill.llm import byte_bpe, chat_format, jaccard_join, quality_gam, quality_rules
 from talkmill.sources.tables import table
 
 
@@ -65,11 +65,17 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's number of shingles and the smallest document it is linked with over any number of links."""
+    return jaccard_join.jaccard_join(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
     "op4_byte_bpe": op4_byte_bpe,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 # The same results in SQL, written from the contracts.
@@ -136,7 +142,37 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+_OP10 = r"""
+WITH RECURSIVE t AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+s AS (
+    SELECT DISTINCT rid, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS shingle
+    FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)
+),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+links AS (
+    SELECT a, b
+    FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.rid <> y.rid
+          GROUP BY 1, 2) p
+    JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b
+    WHERE 100 * c >= 75 * (na.n + nb.n - c)
+),
+reach(a, b) AS (
+    SELECT rid, rid FROM t
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+),
+least_id AS (SELECT a, min(doc_id) AS id FROM reach JOIN t ON t.rid = reach.b GROUP BY a)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least_id.id AS component_id
+FROM t LEFT JOIN n USING (rid) JOIN least_id ON least_id.a = t.rid
+"""
+
 ORACLES = {
     "op1_quality_rules": _OP1,
     "op2_chat_format": _OP2,
+    "op10_jaccard_join": _OP10,
 }
