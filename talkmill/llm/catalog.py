@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import byte_bpe, chat_format, jaccard_join, quality_gam, quality_rules
+from talkmill.llm import byte_bpe, chat_format, decontaminate, jaccard_join, quality_gam, quality_rules
 from talkmill.sources.tables import table
 
 
@@ -53,6 +53,11 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark items in every document, each at its most similar place."""
+    return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality score by a model that saw no label of the held-out third."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -74,6 +79,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_decontaminate": op7_decontaminate,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_jaccard_join": op10_jaccard_join,
 }
