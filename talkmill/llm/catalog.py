@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import byte_bpe, chat_format, decontaminate, jaccard_join, quality_gam, quality_rules
+from talkmill.llm import byte_bpe, chat_format, decontaminate, jaccard_join, pii, quality_gam, quality_rules
 from talkmill.sources.tables import table
 
 
@@ -53,6 +53,22 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans, and all spans."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    marked = pii.annotate(docs, pii.learn(docs))
+    kinds = F.transform("_base", lambda s: s["kind"])
+    counts = {
+        f"n_{kind}": (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long") for kind in pii.BASE_KINDS
+    }
+    return marked.select(
+        "doc_id",
+        *[count.alias(name) for name, count in counts.items()],
+        F.sha2(pii.listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("_spans")).alias("spans"),
+    )
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """The benchmark items in every document, each at its most similar place."""
     return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -79,6 +95,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_jaccard_join": op10_jaccard_join,
