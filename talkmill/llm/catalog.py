@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import byte_bpe, chat_format, decontaminate, jaccard_join, pii, quality_gam, quality_rules
+from talkmill.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, pii, quality_gam, quality_rules
 from talkmill.sources.tables import table
 
 
@@ -44,6 +44,16 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, by a model that saw no label of the held-out quarter."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = quality_gam.fold(F.col("doc_id"), 4) == 2
+    model = language_id.train(docs.where(~held_out))
+    return language_id.predict(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     bpe = byte_bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -94,6 +104,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
+    "op3_language_id": op3_language_id,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
