@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, pii, quality_gam, quality_rules
+from talkmill.llm import bitplane, byte_bpe, chat_format, decontaminate, jaccard_join, language_id, pii, quality_gam, quality_rules
+from talkmill.session import scratch_path
 from talkmill.sources.tables import table
 
 
@@ -63,6 +64,13 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_bitplane(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place and checksum, read back from bit-plane files of all documents."""
+    path = scratch_path(spark, "bitplane")
+    bitplane.write(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return bitplane.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("id_bytes").alias("ids_crc32"))
+
+
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document: counts and digest of the base spans, and all spans."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -106,6 +114,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_language_id": op3_language_id,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_bitplane": op5_bitplane,
     "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
     "op9_quality_classifier": op9_quality_classifier,
