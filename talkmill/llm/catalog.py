@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bitplane, byte_bpe, chat_format, decontaminate, jaccard_join, language_id, pii, quality_gam, quality_rules
+from talkmill.llm import bitplane, byte_bpe, chat_format, decontaminate, jaccard_join, language_id, pii, quality_gam, quality_rules, suffix_dedup
 from talkmill.session import scratch_path
 from talkmill.sources.tables import table
 
@@ -92,6 +92,11 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The stretches of every document that other documents repeat, in words."""
+    return suffix_dedup.repeated_passages(table(spark, folder, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality score by a model that saw no label of the held-out third."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -99,8 +104,8 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_gam.score(docs, model, "doc_id").select(
         "doc_id",
         F.coalesce(quality_gam.fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
-        "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
     )
 
 
@@ -117,6 +122,7 @@ QUERIES = {
     "op5_bitplane": op5_bitplane,
     "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_jaccard_join": op10_jaccard_join,
 }
@@ -214,8 +220,29 @@ SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least_id.id AS componen
 FROM t LEFT JOIN n USING (rid) JOIN least_id ON least_id.a = t.rid
 """
 
+_OP8 = r"""
+WITH t AS (
+    SELECT DISTINCT doc_id, text,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x20\x09-\x0D]+') AS w
+    FROM documents WHERE text IS NOT NULL
+),
+d AS (SELECT row_number() OVER () AS rid, * FROM t WHERE len(w) >= 50),
+x AS (
+    SELECT rid, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+    FROM (SELECT rid, w, unnest(range(1, len(w) - 48)) AS i FROM d)
+),
+shared AS (SELECT h FROM x GROUP BY h HAVING min(rid) < max(rid)),
+p AS (SELECT DISTINCT rid, i FROM x JOIN shared USING (h)),
+g AS (SELECT rid, i, i - coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -100) > 50 AS new FROM p),
+s AS (SELECT rid, i, sum(new::INT) OVER (PARTITION BY rid ORDER BY i) AS k FROM g)
+SELECT doc_id, min(i) - 1 AS start_word, max(i) - min(i) + 50 AS n_words
+FROM s JOIN d USING (rid) GROUP BY rid, doc_id, k
+"""
+
 ORACLES = {
     "op1_quality_rules": _OP1,
     "op2_chat_format": _OP2,
+    "op8_suffix_dedup": _OP8,
     "op10_jaccard_join": _OP10,
 }

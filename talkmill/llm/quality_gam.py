@@ -222,17 +222,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Gam:
 
 
 def score(docs: DataFrame, model: Gam, *keep: str) -> DataFrame:
-    """The columns ``keep`` of every document and its score (0 to 1)."""
+    """The columns ``keep`` of every document and its score (0 to 1) as ``_score``."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    columns = list(dict.fromkeys((*keep, "text")))
+    at = columns.index("text")
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = feature_matrix(["" if text is None else text for text in batch.column(0).to_pylist()])
+            x = feature_matrix(["" if text is None else text for text in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(shared.value.score(x))], names=[*keep, "score"]
+                [*batch.columns[: len(keep)], pa.array(shared.value.score(x))], names=[*keep, "_score"]
             )
 
+    rows = docs.select(*[F.col(f"`{name}`") for name in columns])
     kinds = ", ".join(f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in keep)
-    text = F.col("text").alias("_text")
-    return docs.select(text, *[F.col(f"`{name}`") for name in keep]).mapInArrow(scored, f"{kinds}, score double")
+    return rows.mapInArrow(scored, f"{kinds}, _score double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that the classifier does not reject, with all their columns."""
+    return score(docs, train(docs, labels), *docs.columns).where("_score >= 0.5").drop("_score")
