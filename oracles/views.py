@@ -203,6 +203,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         GROUP BY user_id, session_no
         """,
     ),
+    "session_rows": (
+        ("sessions",),
+        """
+        SELECT user_id * 100000 + session_no AS id, user_id, user_id * 1000 + (day(started_at) - 1) // 10 AS conversation_id,
+               user_id || '-' || session_no AS session_token, started_at, last_activity_at, expires_at,
+               expires_at >= (SELECT max(ts) FROM events) AS is_active
+        FROM sessions
+        """,
+    ),
 }
 
 

@@ -57,6 +57,23 @@ def conversation_dicts(conversations: DataFrame) -> DataFrame:
     )
 
 
+def session_dicts(sessions: DataFrame) -> DataFrame:
+    """Sessions as plain text fields, as an API returns them."""
+    return sessions.select(
+        *[F.col(name).cast("string").alias(name) for name in ("id", "user_id", "conversation_id")],
+        *[iso_utc(F.col(name)).alias(name) for name in ("started_at", "last_activity_at")],
+        "is_active",
+    )
+
+
+def analytics_dicts(analytics: DataFrame) -> DataFrame:
+    """Analytics events as plain text fields, as an API returns them."""
+    return analytics.select(
+        F.col("id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user_id"), "event_type",
+        "event_data", iso_utc(F.col("created_at")).alias("created_at"),
+    )
+
+
 def history_of(messages: DataFrame, user: DataFrame, limit: int = 10) -> DataFrame:
     """Newest messages of the one user in ``user``."""
     return (
@@ -76,8 +93,8 @@ def latest_per_key(rows: DataFrame, key: str, limit: int, ts: str = "created_at"
     return rows.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
 
 
-def last_message(conversations: DataFrame, messages: DataFrame) -> DataFrame:
-    """Every conversation with its newest message; nulls where it has none."""
+def last_message(conversations: DataFrame, messages: DataFrame, *keep: str) -> DataFrame:
+    """Every conversation with its newest message and the columns ``keep``; nulls where it has none."""
     newest_message = messages.groupBy(F.col("conversation_id").alias("id")).agg(
         F.max_by(F.struct("content", "created_at"), _newest_key("created_at", "id")).alias("m")
     )
@@ -86,15 +103,14 @@ def last_message(conversations: DataFrame, messages: DataFrame) -> DataFrame:
         "user_id", "started_at", "message_count",
         F.col("m.content").alias("last_message"),
         F.col("m.created_at").alias("last_message_at"),
+        *keep,
     )
 
 
 def recent_conversations(conversations: DataFrame, messages: DataFrame, limit: int = 10) -> DataFrame:
     """For every user the newest ``limit`` conversations with their last message."""
     recent = latest_per_key(conversations, "user_id", limit, ts="started_at")
-    return last_message(recent, messages).join(
-        recent.select(F.col("id").alias("conversation_id"), "rank"), "conversation_id"
-    )
+    return last_message(recent, messages, "rank")
 
 
 def children(parents: DataFrame, rows: DataFrame, key: str) -> DataFrame:

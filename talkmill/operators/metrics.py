@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import normalised, tokens
+from talkmill.operators.joins import ROW_BYTES, broadcast_if
+from talkmill.session import cut_lineage
 
 
 def messages_per_period(messages: DataFrame, ts: str = "created_at") -> DataFrame:
@@ -27,12 +29,24 @@ def messages_per_period(messages: DataFrame, ts: str = "created_at") -> DataFram
 
 
 def top_questions(questions: DataFrame, text: str, limit: int = 20) -> DataFrame:
-    """The questions asked most often, spelling case and spacing aside."""
+    """The questions asked most often, spelling case and spacing aside.
+
+    Questions are counted by digest. The texts of the questions with at least as
+    many askers as the last one shown are looked up after that.
+    """
+    digest = F.sha2(normalised(F.col(text)), 256).alias("_digest")
+    counts = questions.where(F.col(text).isNotNull()).groupBy(digest).agg(F.count(F.lit(1)).alias("times_asked"))
+    counts = cut_lineage(counts)
+    last = counts.orderBy(F.desc("times_asked")).limit(limit).agg(F.min("times_asked")).first()[0]
+    shown = counts.where(F.col("times_asked") >= F.lit(last or 0))
+    asked = questions.select(digest, normalised(F.col(text)).alias("question"))
+    named = asked.join(broadcast_if(shown, ROW_BYTES * 2 * shown.count()), "_digest")
     return (
-        questions.groupBy(normalised(F.col(text)).alias("question"))
-        .agg(F.count(F.lit(1)).alias("times_asked"))
+        named.groupBy("_digest")
+        .agg(F.first("question").alias("question"), F.first("times_asked").alias("times_asked"))
         .orderBy(F.desc("times_asked"), F.asc("question"))
         .limit(limit)
+        .select("question", "times_asked")
     )
 
 

@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 from talkmill.functions.stopwords import ENGLISH_STOP_WORDS
 from talkmill.functions.text import TOKEN
 from talkmill.operators.joins import BROADCAST_BYTES, ROW_BYTES, broadcast_if, lookup_join, measured_bytes
-from talkmill.session import cut_lineage, scratch_path
+from talkmill.session import cut_lineage, remove_path, scratch_path
 
-# At most this many terms can each hold more than 1/HOT_TERMS of all postings.
+# A term is hot with more than 1/HOT_TERMS of all postings, or a quarter of a bucket's share where there are more
+# buckets than that; so many terms can be hot at most.
 HOT_TERMS = 2000
+# Terms of questions that are pushed into the scan of the weights; more are only joined.
+PUSHED_TERMS = 2000
+BYTES_PER_BUCKET = 64 * 1024 * 1024
 SCORE_DIGITS = 6
 # Two rounding steps of a score; a bound has to miss by more to rule a document out.
 MARGIN = 2 * 10.0**-SCORE_DIGITS
@@ -62,47 +66,81 @@ class TfidfModel:
     idf_bytes: int
     postings: int
     documents: int
+    buckets: int
+    folder: str
+    table: str
 
     def hot_terms(self) -> DataFrame:
-        """Terms in so many documents that one partition should not hold them; at most HOT_TERMS."""
-        return self.idf.where(F.col("df") > self.postings / HOT_TERMS)
+        """Terms in so many documents that one partition should not hold them; a bounded list."""
+        return self.idf.where(F.col("df") > self.postings / _hot_limit(self.buckets))
+
+    def drop(self) -> None:
+        """Remove the model's table and files."""
+        self.idf.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove_path(self.idf.sparkSession, self.folder)
+
+
+def _hot_limit(buckets: int) -> int:
+    return max(HOT_TERMS, 4 * buckets)
+
+
+def load(spark, folder: str) -> TfidfModel:
+    """A model that ``fit`` has written to ``folder``, also from another session."""
+    idf = spark.read.parquet(f"{folder}/idf")
+    meta = spark.read.json(f"{folder}/meta").first()
+    name = f"tfidf_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{folder}/weights").schema)
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (doc_id) SORTED BY (term) "
+        f"INTO {meta.buckets} BUCKETS LOCATION '{folder}/weights'"
+    )
+    return TfidfModel(
+        idf, spark.table(name), meta.idf_bytes, meta.postings, meta.documents, meta.buckets, folder, name
+    )
 
 
 def fit(
-    docs: DataFrame, key: str = "id", text: str = "question", stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS
+    docs: DataFrame, key: str = "id", text: str = "question", stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS,
+    folder: str | None = None,
 ) -> TfidfModel:
-    """Fit the model over a collection and write it to the shared folder.
+    """Fit the model over a collection and write it to ``folder`` or the shared folder.
 
     The texts are shuffled and tokenised once: the token counts are written
     bucketed by document, and idf and weights are read off that table.
     """
     spark = docs.sparkSession
-    folder = scratch_path(spark, "tfidf")
-    documents = docs.count()
-    # as many buckets as shuffles have partitions, fewer for a small collection
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(buckets, -(-documents // MIN_DOCUMENTS_PER_BUCKET)))
+    folder = folder or scratch_path(spark, "tfidf")
+    documents, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    # buckets follow the bytes of the texts; a small collection has one for each core
+    cores = min(spark.sparkContext.defaultParallelism, -(-documents // MIN_DOCUMENTS_PER_BUCKET))
+    buckets = max(1, cores, -(-size // BYTES_PER_BUCKET))
     placed = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartition(buckets, "doc_id")
-    counts = _bucketed(term_counts(placed, "doc_id", "text", stop_words), f"{folder}/counts", buckets)
+    counts, counts_name = _bucketed(term_counts(placed, "doc_id", "text", stop_words), f"{folder}/counts", buckets)
 
     inverse_document_frequency(counts, documents).write.parquet(f"{folder}/idf")
     idf = spark.read.parquet(f"{folder}/idf")
     idf_bytes = measured_bytes(idf, "term")
     postings = idf.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    hot = idf.where(F.col("df") > postings / HOT_TERMS)
+    hot = idf.where(F.col("df") > postings / _hot_limit(buckets))
 
     weighted = lookup_join(
         counts, idf.select("term", "idf"), "term", lookup_bytes=idf_bytes, hot=hot, spread_by="doc_id", salts=buckets
     ).withColumn("w", F.col("tf") * F.col("idf"))
-    weights = _bucketed(unit_weights(weighted, "doc_id"), f"{folder}/weights", buckets)
-    return TfidfModel(idf, weights, idf_bytes, postings, documents)
-
-
-def _bucketed(rows: DataFrame, path: str, buckets: int) -> DataFrame:
-    """Write rows bucketed by document, so that later grouping by document needs no shuffle."""
+    weights, name = _bucketed(unit_weights(weighted, "doc_id"), f"{folder}/weights", buckets)
+    meta = {"idf_bytes": idf_bytes, "postings": postings, "documents": documents, "buckets": buckets}
+    spark.createDataFrame([meta]).coalesce(1).write.json(f"{folder}/meta")
+    # the counts are not needed any more
+    spark.sql(f"DROP TABLE {counts_name}")
+    remove_path(spark, f"{folder}/counts")
+    return TfidfModel(idf, weights, idf_bytes, postings, documents, buckets, folder, name)
+
+
+def _bucketed(rows: DataFrame, path: str, buckets: int) -> tuple[DataFrame, str]:
+    """Write rows bucketed by document and sorted by term, so that later grouping by document needs no shuffle
+    and a scan for a few terms skips most pages."""
     spark, name = rows.sparkSession, f"tfidf_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, "doc_id").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    rows.write.bucketBy(buckets, "doc_id").sortBy("term").option("path", path).saveAsTable(name)
+    return spark.table(name), name
 
 
 def question_terms(questions: DataFrame, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> DataFrame:
@@ -164,8 +202,12 @@ def _few_pairs(model: TfidfModel, counts: DataFrame, rows: int) -> bool:
 
 def _partial_scores(model: TfidfModel, terms: DataFrame, size: int) -> DataFrame:
     """(query_id, doc_id, score): sums of products over the given question terms."""
+    weights = model.weights
+    if size <= PUSHED_TERMS * ROW_BYTES:
+        # at most PUSHED_TERMS terms
+        weights = weights.where(F.col("term").isin([row.term for row in terms.select("term").distinct().collect()]))
     matched = lookup_join(
-        model.weights, terms.select("query_id", "term", "wq"), "term", lookup_bytes=size,
+        weights, terms.select("query_id", "term", "wq"), "term", lookup_bytes=size,
         hot=model.hot_terms().select("term").unionByName(_asked_often(terms, size // ROW_BYTES)), spread_by="doc_id",
     )
     return matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))

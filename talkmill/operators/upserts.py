@@ -112,11 +112,39 @@ def language_changes(users: DataFrame, detections: DataFrame) -> DataFrame:
     )
 
 
-def patch_profiles(users: DataFrame, patches: DataFrame, as_of: Column) -> DataFrame:
-    """Apply the non-empty fields of one patch per user; a row that really
+def apply_language_changes(users: DataFrame, detections: DataFrame, as_of: Column) -> DataFrame:
+    """Users with the newest detected language as the preferred one; a user that
     changes gets a new ``updated_at``."""
+    changes = language_changes(users, detections).select(F.col("user_id").alias("id"), "new_language")
+    changed = F.col("new_language").isNotNull()
+    return (
+        users.join(changes, "id", "left")
+        .withColumn("_as_of", as_of)
+        .withColumns(
+            {
+                "preferred_language": F.coalesce("new_language", "preferred_language"),
+                "updated_at": F.when(changed, F.col("_as_of")).otherwise(F.col("updated_at")),
+            }
+        )
+        .drop("_as_of", "new_language")
+    )
+
+
+def patch_profiles(users: DataFrame, patches: DataFrame, as_of: Column, order: str | None = None) -> DataFrame:
+    """Apply the non-empty fields of all patches of a user; a row that really
+    changes gets a new ``updated_at``.
+
+    Of several patches the last non-empty value of each field wins, by the
+    column ``order``; without one, or on a tie, the largest value.
+    """
     fields = ["name", "location", "farm_size", "crops"]
-    patch = patches.select(F.col("user_id").alias("id"), *[F.col(name).alias(f"_{name}") for name in fields])
+
+    def last(name: str) -> Column:
+        filled = F.size(name) > 0 if name == "crops" else F.col(name) != ""
+        rank = F.struct(*([order] if order else []), name)
+        return F.max_by(name, F.when(filled, rank)).alias(f"_{name}")
+
+    patch = patches.groupBy(F.col("user_id").alias("id")).agg(*[last(name) for name in fields])
     new = {name: F.coalesce(F.nullif(F.col(f"_{name}"), F.lit("")), F.col(name)) for name in fields[:-1]}
     new["crops"] = F.when(F.size("_crops") > 0, F.col("_crops")).otherwise(F.col("crops"))
     changed = F.lit(False)
@@ -130,13 +158,18 @@ def patch_profiles(users: DataFrame, patches: DataFrame, as_of: Column) -> DataF
     )
 
 
-def latest_state(messages: DataFrame, key: str = "sender", ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """The newest message of every sender: body, route and time."""
-    return messages.groupBy(key).agg(
-        F.max_by(F.struct("body", "route", ts), F.struct(ts, tie)).alias("s")
+def latest_state(answered: DataFrame, key: str = "sender", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The newest answered message of every sender: body, response, route and time.
+
+    Only messages that got a ``response`` change the state: greetings and help
+    requests are replied to without touching it.
+    """
+    return answered.where(F.col("response").isNotNull()).groupBy(key).agg(
+        F.max_by(F.struct("body", "response", "route", ts), F.struct(ts, tie)).alias("s")
     ).select(
         key,
         F.col("s.body").alias("last_message"),
+        F.col("s.response").alias("last_response"),
         F.col("s.route").alias("message_type"),
         F.col(f"s.{ts}").alias("last_at"),
     )

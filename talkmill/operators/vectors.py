@@ -16,10 +16,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkmill.operators.joins import ROW_BYTES, broadcast_if
 from talkmill.session import cut_lineage, scratch_path, ship_package
 
 BLOCK_ROWS = 2048
 QUERY_BLOCK_ROWS = 1024
+ROWS_PER_FILE = 250_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 DISTANCE_DIGITS = 6
 
@@ -105,14 +107,14 @@ def _rank(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _meet(corpus: DataFrame, queries: DataFrame, k: int, query_bytes: int) -> DataFrame:
+def _meet(corpus: DataFrame, queries: DataFrame, k: int, query_bytes: int | None = None) -> DataFrame:
     """Join blocks on ``part`` and keep the best k pairs of each.
 
-    Small question blocks (checked size) are broadcast. Otherwise both sides
+    Question blocks of a small checked size are broadcast. Otherwise both sides
     are shuffled, with the collection spread over salts so that no part ends in one task.
     """
-    if query_bytes <= BROADCAST_BYTES:
-        met = corpus.join(F.broadcast(queries), "part")
+    if query_bytes is None or query_bytes <= BROADCAST_BYTES:
+        met = corpus.join(queries if query_bytes is None else F.broadcast(queries), "part")
     else:
         salts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         spread = corpus.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
@@ -123,19 +125,68 @@ def _meet(corpus: DataFrame, queries: DataFrame, k: int, query_bytes: int) -> Da
     return _rank(best, k)
 
 
-def _rows(vectors: DataFrame, key: str, owner, part) -> DataFrame:
+def _rows(vectors: DataFrame, key: str, owner, part, width: int) -> DataFrame:
+    """Rows for packing. A vector of another width, or with a null element, is an error."""
     ship_package(vectors.sparkSession)
-    present = vectors.where(F.col("embedding").isNotNull())
-    return present.select(
-        part.cast("long").alias("part"), F.col(key).cast("long").alias("id"),
-        owner.cast("long").alias("owner"), F.col("embedding").cast("array<float>").alias("embedding"),
+    numbers = F.col("embedding").cast("array<float>")
+    right = (F.size(numbers) == width) & ~F.exists(numbers, lambda x: x.isNull())
+    problem = F.format_string(
+        f"vector %s of {key} %s does not hold {width} numbers", F.to_json(numbers), F.col(key).cast("string")
     )
+    checked = F.when(right, numbers).otherwise(F.raise_error(problem).cast("array<float>"))
+    return vectors.where(F.col("embedding").isNotNull()).select(
+        part.cast("long").alias("part"), F.col(key).cast("long").alias("id"), owner.cast("long").alias("owner"),
+        checked.alias("embedding"),
+    )
+
+
+def _extent(queries: DataFrame) -> tuple[int, int, int]:
+    """Number of question vectors, their width and their total bytes."""
+    count, width = queries.where(F.col("embedding").isNotNull()).agg(
+        F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))
+    ).first()
+    return count, width, count * width * 4
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact search over the whole collection.
+
+    Questions are taken in groups that are small enough to broadcast, one scan of
+    the collection each; the collection is never shuffled.
+    """
+    count, width, size = _extent(queries)
+    groups = max(1, -(-size // BROADCAST_BYTES))
+    found = None
+    for group in range(groups):
+        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == group) if groups > 1 else queries
+        blocks = max(1, -(-count // (groups * QUERY_BLOCK_ROWS)))
+        packed = _rows(vectors, "id", F.lit(None), F.lit(0), width).mapInArrow(_pack_corpus, _CORPUS_BLOCK)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+        questions = (
+            _rows(asked, "query_id", F.lit(None), F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)), width)
+            .repartition(blocks, "part")
+            .mapInArrow(_pack_queries, _QUERY_BLOCK)
+        )
+        part = _meet(packed.withColumn("part", every), F.broadcast(questions), k)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
-def _extent(queries: DataFrame) -> tuple[int, int]:
-    """Number of question vectors and their total bytes."""
-    count, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    return count, count * width * 4
+def _nearest_of_user(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Search of questions that only see one user's vectors: both sides are keyed by the user.
+
+    Only vectors of users that were asked about are packed.
+    """
+    count, width, size = _extent(queries)
+    owners = queries.select(F.col("user_id").alias("_owner")).distinct()
+    owned = vectors.join(broadcast_if(owners, count * ROW_BYTES), F.col("user_id") == F.col("_owner"), "left_semi")
+    packed = _rows(owned, "id", F.lit(None), F.col("user_id"), width).mapInArrow(_pack_corpus, _CORPUS_BLOCK)
+    questions = (
+        _rows(queries, "query_id", F.lit(None), F.col("user_id"), width)
+        .repartition("part")
+        .mapInArrow(_pack_queries, _QUERY_BLOCK)
+    )
+    return _meet(packed, questions, k, size)
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, by_user: bool = False) -> DataFrame:
@@ -145,18 +196,15 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, by_user: boo
     with ``by_user``, user_id: a question with a user only sees that user's
     vectors. Ascending cosine distance, lower id first on a tie, NaN last.
     """
-    count, size = _extent(queries)
-    blocks = max(1, -(-count // QUERY_BLOCK_ROWS))
-    wanted = F.col("user_id") if by_user else F.lit(None)
-    owner = F.col("user_id") if by_user else F.lit(None)
-    packed = _rows(vectors, "id", owner, F.lit(0)).mapInArrow(_pack_corpus, _CORPUS_BLOCK)
-    corpus = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    questions = (
-        _rows(queries, "query_id", wanted, F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        .repartition(blocks, "part")
-        .mapInArrow(_pack_queries, _QUERY_BLOCK)
-    )
-    return _meet(corpus, questions, k, size)
+    if not by_user:
+        return _nearest(vectors, queries, k)
+    free = _nearest(vectors, queries.where(F.col("user_id").isNull()), k)
+    return free.unionByName(_nearest_of_user(vectors, queries.where(F.col("user_id").isNotNull()), k))
+
+
+def with_content(results: DataFrame, contents: DataFrame, result_rows: int) -> DataFrame:
+    """Attach the ``content`` of the found ids (contents: id, content)."""
+    return contents.join(broadcast_if(results, result_rows * ROW_BYTES), "id", "right")
 
 
 class InvertedLists:
@@ -166,15 +214,22 @@ class InvertedLists:
     reads only the lists it probes.
     """
 
-    def __init__(self, vectors: DataFrame, lists: int = 16, seed: int = 7, max_iter: int = 10):
+    def __init__(self, vectors: DataFrame, lists: int | None = None, seed: int = 7, max_iter: int = 10):
+        """``lists``: as many as the square root of the number of vectors unless given."""
         spark = vectors.sparkSession
+        count = vectors.count()
+        lists = lists or max(1, round(count**0.5))
         length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
         # a vector without direction goes to the centres as it is
         unit = F.transform("embedding", lambda x: x.cast("double") / F.when(length > 0, length).otherwise(1.0))
         present = vectors.where(F.col("embedding").isNotNull()).withColumn("features", array_to_vector(unit))
         fitted = KMeans(k=lists, seed=seed, maxIter=max_iter, predictionCol="list_id").fit(present)
         path = scratch_path(spark, "vector-lists")
-        fitted.transform(present).drop("features").write.partitionBy("list_id").parquet(path)
+        # a list is one file for each ROWS_PER_FILE of its rows, not one for each task
+        files = max(1, -(-count // (lists * ROWS_PER_FILE)))
+        listed = fitted.transform(present).drop("features")
+        listed = listed.repartition("list_id", F.pmod(F.xxhash64("id"), F.lit(files)))
+        listed.write.option("maxRecordsPerFile", 4 * ROWS_PER_FILE).partitionBy("list_id").parquet(path)
         self.table = spark.read.parquet(path)
         # bounded by ``lists``
         self.centres = spark.createDataFrame(
@@ -187,7 +242,7 @@ class InvertedLists:
 
         With as many probes as lists the result is exact.
         """
-        _, size = _extent(queries)
+        _, width, size = _extent(queries)
         probed = cut_lineage(
             vector_topk(self.centres, queries, probes).select("query_id", F.col("id").alias("list_id"))
         )
@@ -195,10 +250,10 @@ class InvertedLists:
         wanted = [row.list_id for row in probed.select("list_id").distinct().collect()]
         targets = queries.join(probed, "query_id")
         questions = (
-            _rows(targets, "query_id", F.lit(None), F.col("list_id"))
+            _rows(targets, "query_id", F.lit(None), F.col("list_id"), width)
             .repartition("part")
             .mapInArrow(_pack_queries, _QUERY_BLOCK)
         )
         listed = self.table.where(F.col("list_id").isin(wanted))
-        corpus = _rows(listed, "id", F.lit(None), F.col("list_id")).mapInArrow(_pack_corpus, _CORPUS_BLOCK)
+        corpus = _rows(listed, "id", F.lit(None), F.col("list_id"), width).mapInArrow(_pack_corpus, _CORPUS_BLOCK)
         return _meet(corpus, questions, k, size * probes)

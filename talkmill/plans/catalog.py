@@ -18,7 +18,7 @@ from talkmill.plans.question_flow import answer_prompts
 from talkmill.schemas import MAX_LENGTHS
 from talkmill.session import scratch_path
 from talkmill.sources import knowledge_base, views
-from talkmill.sources.tables import spread, table
+from talkmill.sources.tables import append_messages as append_rows, spread, table
 from talkmill.streaming import jobs, runner
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,43 @@ def kb_append(spark, folder):
     )
 
 
+@query
+def kb_missing_file(spark, folder):
+    """Entries per source of two collections, one of which is not there."""
+    path = scratch_path(spark, "kb-there")
+    knowledge_base.append_csv(views.kb(spark, folder), path)
+    both = knowledge_base.read_csv(spark, path).unionByName(knowledge_base.read_csv(spark, f"{path}-missing"))
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query
+def kb_snapshot(spark, folder):
+    """Two snapshots side by side, and the entries of the one asked for."""
+    path, kb = scratch_path(spark, "kb-snapshots"), views.kb(spark, folder)
+    knowledge_base.write_snapshot(kb, path, "20240101_000000")
+    knowledge_base.write_snapshot(kb.where(F.col("id") % 2 == 0), path, "20240102_000000")
+    return knowledge_base.read_snapshot(spark, path, "20240101_000000").select("id", "question", "source")
+
+
+@query
+def append_messages(spark, folder):
+    """The message sink: rows written twice without the columns it fills in."""
+    path, log = scratch_path(spark, "messages"), views.messages(spark, folder)
+    bare = log.select("id", "user_id", "conversation_id", "direction", "content", "created_at")
+    append_rows(bare, path)
+    append_rows(bare.withColumn("language", F.lit("tw")), path)
+    stored = spark.read.parquet(path)
+    return stored.groupBy("message_type", "language", "metadata").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query
+def export_summary(spark, folder):
+    """A summary written as CSV and read back."""
+    path = scratch_path(spark, "summary")
+    metrics.export_csv(stats.event_counts(views.analytics(spark, folder)), path)
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
 @query
 def kb_batches(spark, folder):
     return knowledge_base.append_batches(views.kb(spark, folder))
@@ -160,6 +197,29 @@ def recent_conversations(spark, folder):
     return history.recent_conversations(views.conversations(spark, folder), views.messages(spark, folder), limit=10)
 
 
+def _sessions(spark, folder):
+    """Session rows with key, token, conversation and whether they are still open."""
+    found = upserts.sessionise(views.messages(spark, folder)).withColumn("_now", _as_of(spark, folder))
+    return found.select(
+        (F.col("user_id") * 100000 + F.col("session_no")).alias("id"),
+        "user_id",
+        (F.col("user_id") * 1000 + F.floor((F.dayofmonth("started_at") - 1) / 10)).alias("conversation_id"),
+        F.concat_ws("-", "user_id", "session_no").alias("session_token"),
+        "started_at", "last_activity_at", "expires_at",
+        (F.col("expires_at") >= F.col("_now")).alias("is_active"),
+    )
+
+
+@query
+def session_dicts(spark, folder):
+    return history.session_dicts(_sessions(spark, folder))
+
+
+@query
+def analytics_dicts(spark, folder):
+    return history.analytics_dicts(views.analytics(spark, folder))
+
+
 @query
 def user_nested(spark, folder):
     log = views.messages(spark, folder)
@@ -175,7 +235,10 @@ def cascade_delete(spark, folder):
     users, log = views.users(spark, folder), views.messages(spark, folder)
     kept = history.cascade_delete(
         users.where(F.col("location") == "FRANCE").select("id"), users, views.conversations(spark, folder),
-        {"messages": log, "analytics": views.analytics(spark, folder), "preferences": views.preferences(spark, folder)},
+        {
+            "messages": log, "sessions": _sessions(spark, folder), "analytics": views.analytics(spark, folder),
+            "preferences": views.preferences(spark, folder),
+        },
     )
     counts = [
         rows.agg(F.count(F.lit(1)).alias("rows_left")).select(F.lit(name).alias("table_name"), "rows_left")
@@ -283,6 +346,14 @@ def _routed(spark, folder):
     return inbound_ops.route_messages(views.inbound(table(spark, folder, "events")))
 
 
+def _answered(routed: DataFrame) -> DataFrame:
+    """Routed messages with the response they got; greetings and help requests get none of the advisor's."""
+    asked = F.col("command").isNull() | (F.col("command") == "question")
+    return inbound_ops.classify_command(routed).withColumn(
+        "response", F.when(asked, F.concat(F.lit("Re: "), F.coalesce("body", F.lit(""))))
+    )
+
+
 @query
 def route_messages(spark, folder):
     return _routed(spark, folder).select("event_id", "sender", "type", "has_media", "route")
@@ -477,12 +548,35 @@ def vector_topk_filtered(spark, folder):
     return _with_similarity(_semantic(spark, folder, by_user=True))
 
 
+@query
+def similar_messages(spark, folder):
+    """The nearest stored texts of every question with their content."""
+    contents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    asked = views.question_vectors(spark, folder)
+    found = _with_similarity(_semantic(spark, folder))
+    return vectors.with_content(found, contents, K_VECTORS * asked.count()).select(
+        "query_id", "rank", "id", "content", "similarity"
+    )
+
+
 @query
 def vector_ivf(spark, folder):
-    lists = vectors.InvertedLists(views.vectors(spark, folder), lists=16)
+    lists = vectors.InvertedLists(views.vectors(spark, folder))
     return _with_similarity(lists.search(views.question_vectors(spark, folder), K_VECTORS, probes=6))
 
 
+@query
+def vector_ivf_recall(spark, folder):
+    """Rows per question of an index search over half of the lists, and whether four of five are the nearest."""
+    lists = vectors.InvertedLists(views.vectors(spark, folder), lists=16)
+    found = lists.search(views.question_vectors(spark, folder), K_VECTORS, probes=12).select("query_id", "id")
+    exact = _semantic(spark, folder).select("query_id", "id", F.lit(True).alias("_near"))
+    share = F.count("_near") / F.count(F.lit(1))
+    return found.join(exact, ["query_id", "id"], "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("rows"), (share >= 0.8).alias("good")
+    )
+
+
 @query
 def vector_ivf_all_lists(spark, folder):
     """All lists probed: must equal the exact search."""
@@ -553,6 +647,14 @@ def language_changes(spark, folder):
     return upserts.language_changes(views.users(spark, folder), views.messages(spark, folder))
 
 
+@query
+def users_after_language(spark, folder):
+    changed = upserts.apply_language_changes(
+        views.users(spark, folder), views.messages(spark, folder), _as_of(spark, folder)
+    )
+    return changed.select("id", "preferred_language", "updated_at")
+
+
 @query
 def profile_patch(spark, folder):
     patched = upserts.patch_profiles(
@@ -565,14 +667,24 @@ def profile_patch(spark, folder):
 
 @query
 def latest_state(spark, folder):
-    return upserts.latest_state(_routed(spark, folder))
+    return upserts.latest_state(_answered(_routed(spark, folder)))
 
 
 @query
 def constraint_audit(spark, folder):
     users, log = views.users(spark, folder), views.message_log(spark, folder)
-    messages = views.messages(spark, folder)
+    messages, conversations = views.messages(spark, folder), views.conversations(spark, folder)
+    sessions, preferences = _sessions(spark, folder), views.preferences(spark, folder)
+    analytics = views.analytics(spark, folder)
     return quality.audit(
+        quality.unique(sessions, "sessions", "session_token"),
+        quality.unique(preferences, "preferences", "user_id"),
+        quality.row_rules(sessions, "sessions", [], MAX_LENGTHS["sessions"]),
+        quality.row_rules(analytics, "analytics", ["event_type"], MAX_LENGTHS["analytics"]),
+        quality.references(sessions, "sessions", "user_id", users),
+        quality.references(sessions, "sessions", "conversation_id", conversations),
+        quality.references(preferences, "preferences", "user_id", users),
+        quality.references(analytics, "analytics", "user_id", users),
         quality.unique(users, "users", "phone_number"),
         quality.unique(views.signups(spark, folder), "signups", "phone_number"),
         quality.row_rules(users, "users", ["phone_number", "created_at"], MAX_LENGTHS["users"]),
@@ -580,7 +692,7 @@ def constraint_audit(spark, folder):
             messages, "messages", ["message_type", "direction", "content", "language"], MAX_LENGTHS["messages"]
         ),
         quality.references(messages, "messages", "user_id", users),
-        quality.references(messages, "messages", "conversation_id", views.conversations(spark, folder)),
+        quality.references(messages, "messages", "conversation_id", conversations),
         quality.references(log, "message_log", "phone_number", users, "phone_number"),
     )
 
@@ -619,4 +731,4 @@ def stream_dedup(spark, folder):
 def stream_latest_state(spark, folder):
     events = runner.events_stream(spark, folder)
     routed = inbound_ops.route_messages(views.inbound(events))
-    return jobs.latest_state(spark, routed, scratch_path(spark, "latest"))
+    return jobs.latest_state(spark, _answered(routed), scratch_path(spark, "latest"))

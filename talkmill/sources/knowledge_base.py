@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import normalised
+from talkmill.operators.joins import ROW_BYTES, broadcast_if
 from talkmill.schemas import KNOWLEDGE_BASE
 from talkmill.session import cut_lineage
 from talkmill.sources.tables import spread
@@ -115,11 +116,17 @@ def damaged(kb: DataFrame) -> DataFrame:
 def snapshot_diff(older: DataFrame, newer: DataFrame) -> DataFrame:
     """Questions added and removed between two snapshots, with their number.
 
-    Same rows as the two multiset differences, in one shuffle: copies are
-    counted map-side with a sign.
+    Same rows as the two multiset differences. Copies are counted map-side with
+    a sign, by digest; only texts of questions that changed are looked up.
     """
+    digest = F.sha2(F.col("question"), 256).alias("_digest")
     both = older.select("question", F.lit(-1).alias("n")).unionByName(newer.select("question", F.lit(1).alias("n")))
-    change = both.groupBy("question").agg(F.sum("n").alias("n")).where(F.col("n") != 0)
-    return change.select(
+    change = both.groupBy(digest).agg(F.sum("n").alias("n")).where(F.col("n") != 0)
+    change = cut_lineage(change.withColumnRenamed("_digest", "_changed"))
+    changed = both.select(digest, "question").join(
+        broadcast_if(change, 3 * ROW_BYTES * change.count()), F.col("_digest").eqNullSafe(F.col("_changed"))
+    )
+    texts = changed.groupBy("_digest").agg(F.first("question").alias("question"), F.first("n").alias("n"))
+    return texts.select(
         F.when(F.col("n") > 0, "added").otherwise("removed").alias("change"), "question", F.abs("n").alias("copies")
     )

@@ -12,14 +12,23 @@ from pyspark.sql import functions as F
 
 from talkmill.functions.language import detect_language
 from talkmill.functions.text import normalise_sender
-from talkmill.operators.messages import classify_command, route_messages
+from talkmill.operators.messages import classify_command, route_messages, validate_uploads
 from talkmill.sources.views import inbound
 from talkmill.streaming.runner import WATERMARK
 
 
 def ingest(events: DataFrame) -> DataFrame:
-    """Inbound events to message rows: routed, classified, language detected."""
-    routed = classify_command(route_messages(inbound(events)))
+    """Inbound events to message rows: routed, classified, language detected.
+
+    Greetings and help requests are answered at once and not stored. A voice
+    message that declares ``content_type`` and ``size_bytes`` is stored only if
+    the upload is accepted.
+    """
+    routed = classify_command(route_messages(inbound(events))).where(
+        F.col("command").isNull() | (F.col("command") == "question")
+    )
+    if {"content_type", "size_bytes"} <= set(routed.columns):
+        routed = validate_uploads(routed).where((F.col("route") != "voice") | (F.col("verdict") == "accepted"))
     known = detect_language(routed.withColumn("content", F.coalesce("body", F.lit(""))), "content")
     return known.select(
         F.col("event_id").alias("id"),
@@ -50,12 +59,18 @@ def activity(events: DataFrame, sender: str = "user_id", width: str = "5 minutes
 def active_sliding(
     events: DataFrame, user: str = "user_id", width: str = "24 hours", slide: str = "1 hour", delay: str = WATERMARK
 ) -> DataFrame:
-    """Approximate distinct users per sliding window; the state is one sketch per window."""
+    """Distinct users per sliding window.
+
+    Users are first counted per window and user, so that the second count is
+    exact and a window's users are spread over many tasks.
+    """
+    per_user = (
+        events.withWatermark("ts", delay).groupBy(F.window("ts", width, slide), user).agg(F.count(F.lit(1)).alias("n"))
+    )
     return (
-        events.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width, slide).alias("w"))
-        .agg(F.approx_count_distinct(user).alias("active_users"))
-        .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "active_users")
+        per_user.groupBy("window")
+        .agg(F.count(F.lit(1)).alias("active_users"))
+        .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "active_users")
     )
 
 
@@ -83,22 +98,46 @@ def without_repeats(events: DataFrame, key: str = "event_id", delay: str = WATER
 def latest_state(
     spark: SparkSession, routed: DataFrame, path: str, ttl: str = "24 hours", delay: str = WATERMARK
 ) -> DataFrame:
-    """The newest message of every sender, kept up to date by a stream.
+    """The newest answered message of every sender, kept up to date by a stream.
 
     State is held per sender and ``ttl``-wide window, so that it is let go once the
-    watermark has passed the window. Each micro-batch writes the senders that
-    changed under its own batch number, so a repeated batch replaces itself.
-    Reading takes a sender's newest row; a sender is ``expired`` when ``ttl``
-    has passed since, by the newest event seen.
+    watermark has passed the window. Each micro-batch merges the senders that
+    changed into the snapshot of the batch before it and writes the result under
+    its own number, so a repeated batch replaces itself and reading is one
+    snapshot. A sender is ``expired`` when ``ttl`` has passed since, by the newest
+    event seen.
     """
-    newest = F.max_by(F.struct("body", "route", "ts", "event_id"), F.struct("ts", "event_id"))
+    newest = F.max_by(F.struct("body", "response", "route", "ts", "event_id"), F.struct("ts", "event_id"))
+    routed = routed.where(F.col("response").isNotNull())
     changed = (
         routed.withWatermark("ts", delay).groupBy("sender", F.window("ts", ttl)).agg(newest.alias("s"))
         .select("sender", "s.*")
     )
 
+    def merged(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("sender").agg(newest.alias("s")).select("sender", "s.*")
+
+    rows_path = f"{path}/rows"
+
+    def newest_number(below: int) -> int | None:
+        """The number of the newest snapshot below a batch; older ones but the one before it are dropped."""
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        files = hadoop.Path(rows_path).getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(hadoop.Path(rows_path)):
+            return None
+        found = sorted(int(f.getPath().getName().split("=")[1]) for f in files.listStatus(hadoop.Path(rows_path)))
+        found = [number for number in found if number < below]
+        for old in found[:-2]:
+            files.delete(hadoop.Path(f"{rows_path}/batch={old}"), True)
+        return found[-1] if found else None
+
+    def read(session: SparkSession, number: int) -> DataFrame:
+        return session.read.schema(changed.schema).parquet(f"{rows_path}/batch={number}")
+
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        before = newest_number(number)
+        rows = batch if before is None else batch.unionByName(read(batch.sparkSession, before))
+        merged(rows).write.mode("overwrite").parquet(f"{rows_path}/batch={number}")
 
     query = (
         changed.writeStream.outputMode("update")
@@ -108,12 +147,13 @@ def latest_state(
         .start()
     )
     query.awaitTermination()
-    versions = spark.read.schema(changed.schema).parquet(f"{path}/rows")
-    state = versions.groupBy("sender").agg(newest.alias("s")).select("sender", "s.*")
-    now = versions.agg(F.max("ts")).scalar()
+    last = newest_number(1 << 62)
+    state = spark.createDataFrame([], changed.schema) if last is None else read(spark, last)
+    now = state.agg(F.max("ts")).scalar()
     return state.select(
         "sender",
         F.col("body").alias("last_message"),
+        F.col("response").alias("last_response"),
         F.col("route").alias("message_type"),
         F.col("ts").cast("timestamp_ntz").alias("last_at"),
         (F.col("ts") + F.expr(f"INTERVAL {ttl}") < now).alias("expired"),

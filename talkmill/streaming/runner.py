@@ -22,12 +22,16 @@ _STATE = {
 }
 
 
-def stream_session(spark: SparkSession) -> SparkSession:
-    """A session of the same application with the settings streams need."""
+def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session of the same application with the settings streams need.
+
+    State partitions cannot change later: a job that has to outgrow the session's
+    ``spark.sql.shuffle.partitions`` names its own number before its first run.
+    """
     session = spark.newSession()
     session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    # state partitions cannot change later and each is a store of its own: follow the cores
-    session.conf.set("spark.sql.shuffle.partitions", str(2 * spark.sparkContext.defaultParallelism))
+    shuffles = "spark.sql.shuffle.partitions"
+    session.conf.set(shuffles, str(partitions or spark.conf.get(shuffles)))
     for key, value in _STATE.items():
         session.conf.set(key, value)
     return session

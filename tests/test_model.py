@@ -105,6 +105,32 @@ def test_patch_ignores_empty_values(spark):
     assert (found[2].name, found[2].location, found[2].crops, found[2].updated_at) == ("Kofi", "Wa", ["maize"], at(5))
 
 
+def test_of_several_patches_the_last_filled_value_wins(spark):
+    users = spark.createDataFrame(
+        [(1, "Ama", "Ho", "1 acre", ["rice"], at(0))],
+        "id long, name string, location string, farm_size string, crops array<string>, updated_at timestamp_ntz",
+    )
+    patches = spark.createDataFrame(
+        [(1, "Zoe", "Wa", None, [], 1), (1, "Abena", "", "2 acres", None, 2)],
+        "user_id long, name string, location string, farm_size string, crops array<string>, no int",
+    )
+    (row,) = upserts.patch_profiles(users, patches, F.lit(at(5)).cast("timestamp_ntz"), "no").collect()
+    assert (row.name, row.location, row.farm_size, row.crops, row.updated_at) == ("Abena", "Wa", "2 acres", ["rice"], at(5))
+
+
+def test_language_changes_are_applied(spark):
+    users = spark.createDataFrame(
+        [(1, "en", at(0)), (2, "en", at(0)), (3, None, at(0))],
+        "id long, preferred_language string, updated_at timestamp_ntz",
+    )
+    seen = spark.createDataFrame(
+        [(1, 1, "tw", at(1)), (2, 1, "ga", at(2)), (3, 2, "en", at(1)), (4, 3, None, at(1)), (5, 3, "ee", at(1))],
+        "id long, user_id long, language string, created_at timestamp_ntz",
+    )
+    rows = upserts.apply_language_changes(users, seen, F.lit(at(9)).cast("timestamp_ntz")).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, "ga", at(9)), (2, "en", at(0)), (3, "ee", at(9))]
+
+
 def test_first_name_wins_even_when_missing(spark):
     users = spark.createDataFrame(
         [(1, "+1", "Old", "en", at(0), at(0), at(0))],

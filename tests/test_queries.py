@@ -1,11 +1,11 @@
 """Every named query against its SQL on the smallest tables, and its plan."""
 
 import pytest
-from __spark_entry__ import oracle_sql, queries
 from compare import database, difference
+from oracles.sql import ORACLES as CHECKS
+from talkmill.plans.catalog import QUERIES
 
-CHECKS = oracle_sql()
-NO_SQL = {"vector_ivf", "stream_active_sliding"}
+NO_SQL = {"vector_ivf"}
 
 
 @pytest.fixture(scope="module")
@@ -14,13 +14,13 @@ def con(data):
 
 
 def test_every_query_has_sql_but_the_approximate_ones():
-    assert set(queries()) - set(CHECKS) == NO_SQL
-    assert set(CHECKS) <= set(queries())
+    assert set(QUERIES) - set(CHECKS) == NO_SQL
+    assert set(CHECKS) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query_equals_sql(spark, data, con, name):
-    df = queries()[name](spark, data)
+    df = QUERIES[name](spark, data)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
@@ -28,5 +28,5 @@ def test_query_equals_sql(spark, data, con, name):
 
 
 def test_lookup_filter_and_columns_reach_the_scan(spark, data):
-    plan = queries()["language_dist"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["language_dist"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<user_id:bigint>" in plan

@@ -1,6 +1,7 @@
 """Streams over growing folders: late rows, repeats and restarts."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -69,8 +70,17 @@ def test_latest_state_and_expiry(spark):
     path = scratch_path(spark, "test-latest")
     write(spark, path, (1, 0, 1), (2, 5, 2))
     write(spark, path, (4, 60 * 30, 2), (8, 60 * 30 + 1, 2))
-    state = jobs.latest_state(spark, route_messages(inbound(stream(spark, path))), scratch_path(spark, "test-state"))
+    answered = lambda: route_messages(inbound(stream(spark, path))).withColumn("response", F.lit("ok"))
+    out = scratch_path(spark, "test-state")
+    state = jobs.latest_state(spark, answered(), out)
     found = {r.sender: (r.last_at, r.expired) for r in state.collect()}
     assert found == {
         "000000001@c.us": (T0, True), "000000002@c.us": (T0 + dt.timedelta(minutes=60 * 30 + 1), False),
     }
+    for batch in range(4):
+        write(spark, path, (16 + batch, 60 * 40 + batch, 1))
+        state = jobs.latest_state(spark, answered(), out)
+    found = {r.sender: r.last_at for r in state.collect()}
+    assert found["000000001@c.us"] == T0 + dt.timedelta(minutes=60 * 40 + 3) and len(found) == 2
+    # one snapshot is read, and no more than the one before it and a repeat are kept
+    assert len([name for name in os.listdir(out.removeprefix("file://") + "/rows") if "batch=" in name]) <= 3
