@@ -27,9 +27,8 @@ an empty file set.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -42,7 +41,10 @@ from talkmill.session import ship_package
 
 BLOCK_IDS = 1 << 16
 LEVEL = 3
-KEPT_WORDS = 400_000
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+KEPT_WORDS = 200_000
+# Bytes of text that are split into words at once.
+SLICE_BYTES = 1 << 20
 
 
 def to_planes(ids: np.ndarray, unit: str = "byte") -> list[bytes]:
@@ -81,20 +83,29 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.kept: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        # splits at ASCII blanks only, which are white space for every tokenizer
-        found = [text.encode().split() for text in texts]
-        needed = set(chain.from_iterable(found))
-        if len(self.kept) + len(needed) > KEPT_WORDS:
-            self.kept = {word: ids for word, ids in self.kept.items() if word in needed}
-        new = [word for word in needed if word not in self.kept]
-        for word, encoding in zip(
-            new, self.tokenizer.encode_batch([word.decode() for word in new], add_special_tokens=False)
-        ):
-            self.kept[word] = np.array(encoding.ids, "<u4").tobytes()
-        ids = self.kept.__getitem__
-        return [b"".join(map(ids, words)) for words in found]
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        data, out, at = text.encode(), [], 0
+        while at < len(data):
+            stop = at + SLICE_BYTES
+            if stop < len(data):
+                # slices end at a blank, so that no word is cut
+                blank = _BLANK.search(data, stop)
+                stop = blank.start() if blank else len(data)
+            out.append(self._encode_words(data[at:stop].split()))
+            at = stop
+        return b"".join(out)
+
+    def _encode_words(self, words: list[bytes]) -> bytes:
+        new = [word for word in dict.fromkeys(words) if word not in self.kept]
+        if len(self.kept) + len(new) > KEPT_WORDS:
+            self.kept = {}
+            new = list(dict.fromkeys(words))
+        if new:
+            found = self.tokenizer.encode_batch([word.decode() for word in new], add_special_tokens=False)
+            for word, encoding in zip(new, found):
+                self.kept[word] = np.array(encoding.ids, "<u4").tobytes()
+        return b"".join(map(self.kept.__getitem__, words))
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -160,8 +171,8 @@ def write(docs: DataFrame, path: str, definition_path: str, end_id: int, unit: s
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = out or _Blocks(TaskContext.get().partitionId(), unit, batch.column(0).type)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                yield from out.add(doc_id, np.frombuffer(ids + end, "<u4"))
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                yield from out.add(doc_id.as_py(), np.frombuffer(encoder.encode(text.as_py()) + end, "<u4"))
         if out and out.filled:
             yield out.flush()
 
@@ -175,7 +186,8 @@ def write(docs: DataFrame, path: str, definition_path: str, end_id: int, unit: s
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks to document pieces with their ids."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            (row,) = batch.slice(k, 1).to_pylist()
             ids = from_planes(row["planes"], row["n_ids"], row["unit"])
             ends = np.cumsum(row["sizes"])
             starts = ends - row["sizes"]
