@@ -24,9 +24,12 @@ def _code(part):
     return code
 
 
-def parse_transcript(replies: DataFrame, reply: str = "reply") -> DataFrame:
+def parse_transcript(replies: DataFrame, reply: str = "reply", given: str | None = None) -> DataFrame:
     """Add ``text``, ``language`` and ``error`` read from a marked-up reply.
 
+    Where the column ``given`` names a language, the model was asked for that
+    one and the whole reply is the text.
+
     The last usable line of each kind wins. A reply without transcription line
     is taken whole and its language found by the simple rule.
     """
@@ -42,7 +45,8 @@ def parse_transcript(replies: DataFrame, reply: str = "reply") -> DataFrame:
     last_text = F.try_element_at(
         F.transform(text_lines, lambda line: strip(F.replace(line, F.lit(TEXT_MARK), F.lit("")))), F.lit(-1)
     )
-    unmarked = F.coalesce(F.col("_marked"), F.lit("")) == ""
+    asked = F.coalesce(F.col(given), F.lit("")) != "" if given else F.lit(False)
+    unmarked = asked | (F.coalesce(F.col("_marked"), F.lit("")) == "")
     failed = (F.col("_text") == "") | (F.col("_text") == FAILED)
     parsed = (
         replies.withColumn("_reply", strip(F.coalesce(F.col(reply), F.lit(""))))
@@ -61,7 +65,7 @@ def parse_transcript(replies: DataFrame, reply: str = "reply") -> DataFrame:
         .withColumns(
             {
                 "text": F.when(failed, "").otherwise(F.col("_text")),
-                "language": F.when(unmarked, F.col("_guess")).otherwise(F.coalesce("_code", F.lit("en"))),
+                "language": F.when(asked, F.col(given) if given else F.lit(None)).when(unmarked, F.col("_guess")).otherwise(F.coalesce("_code", F.lit("en"))),
                 "error": F.when(failed, F.lit(UNCLEAR)),
             }
         )

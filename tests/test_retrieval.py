@@ -199,12 +199,20 @@ def test_user_filter(stored, wanted):
     assert _hits(results, 101) == [1, 3, 6, 2, 4]
 
 
-def test_many_question_blocks_without_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("bad", [[1.0, 2.0, 3.0], [1.0, None], []])
+def test_vectors_of_another_width_are_an_error(spark, stored, wanted, bad):
+    schema = "id long, embedding array<float>, user_id long"
+    mixed = spark.createDataFrame([(50, bad, 1)], schema)
+    with pytest.raises(Exception, match="does not hold"):
+        vectors.vector_topk(stored.select("id", "embedding", "user_id").union(mixed), wanted, 3).collect()
+
+
+def test_many_question_groups_never_shuffle_the_collection(spark, monkeypatch):
     import numpy as np
 
     numbers = np.random.default_rng(3)
     corpus, asked = numbers.normal(size=(300, 8)).astype("float32"), numbers.normal(size=(90, 8)).astype("float32")
-    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 1000)
     monkeypatch.setattr(vectors, "QUERY_BLOCK_ROWS", 16)
     stored = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(corpus)], "id long, embedding array<float>, user_id long")
     wanted = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(asked)], "query_id long, embedding array<float>, user_id long")
@@ -216,6 +224,21 @@ def test_many_question_blocks_without_broadcast(spark, monkeypatch):
     for row in vectors.vector_topk(stored, wanted, 3).orderBy("query_id", "rank").collect():
         found.setdefault(row.query_id, []).append(row.id)
     assert found == expected
+    plan = vectors.vector_topk(stored, wanted, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_a_saved_model_is_found_again(spark):
+    kb = spark.createDataFrame([(1, "maize pests"), (2, "rice water"), (3, "maize water")], "id long, question string")
+    model = tfidf.fit(kb)
+    asked = spark.createDataFrame([(1, "maize water")], "query_id long, query string")
+    again = tfidf.load(spark.newSession(), model.folder)
+    rows = [tuple(r) for r in tfidf.search(model, asked, 2).collect()]
+    other = tfidf.search(again, again.idf.sparkSession.createDataFrame([(1, "maize water")], "query_id long, query string"), 2)
+    assert [tuple(r) for r in other.collect()] == rows and rows
+    again.drop()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
+        spark.read.parquet(f"{model.folder}/idf").count()
 
 
 def test_inverted_lists_recall(spark):

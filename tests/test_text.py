@@ -124,3 +124,29 @@ def test_stop_words_are_sparks_default(spark):
     from pyspark.ml.feature import StopWordsRemover
 
     assert list(ENGLISH_STOP_WORDS) == StopWordsRemover.loadDefaultStopWords("english")
+
+
+def test_a_source_language_can_be_detected_inside(spark):
+    from talkmill.operators.translation import translate_to_english
+
+    memory = spark.createDataFrame([("me pɛ aburo", "tw", "en", "I want maize")], "text string, source_lang string, target_lang string, translated string")
+    texts = spark.createDataFrame(
+        [(1, "me pɛ aburo", "auto"), (2, "the farm", "auto"), (3, "me pɛ aburo", "tw"), (4, "", "auto"), (5, None, "tw")],
+        "id int, text string, source_lang string",
+    )
+    got = {r.id: (r.source_lang, r.english, r.translation_confidence) for r in translate_to_english(texts, memory, auto=True).collect()}
+    assert got[1][:2] == ("tw", "I want maize") and 0 < got[1][2] <= 1
+    assert got[2][:2] == ("en", "the farm") and got[2][2] < 1
+    assert got[3] == ("tw", "I want maize", 0.8) and got[4] == ("en", "", 0.0) and got[5] == ("en", "", 0.0)
+
+
+def test_with_a_given_language_the_whole_reply_is_the_text(spark):
+    from talkmill.functions.transcript import parse_transcript
+
+    replies = spark.createDataFrame(
+        [(1, " LANGUAGE: en\nTRANSCRIPTION: x ", "tw"), (2, "LANGUAGE: ga\nTRANSCRIPTION: y", None), (3, "TRANSCRIPTION_FAILED", "ee")],
+        "id int, reply string, wanted string",
+    )
+    got = {r.id: (r.text, r.language, r.error is None) for r in parse_transcript(replies, given="wanted").collect()}
+    assert got == {1: ("LANGUAGE: en\nTRANSCRIPTION: x", "tw", True), 2: ("y", "ga", True), 3: ("", "ee", False)}
+
