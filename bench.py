@@ -1,6 +1,6 @@
 """Time the named queries: python bench.py [name ...] prints one JSON line.
 
-Each query runs once to warm up and BENCH_REPEAT times (default 1) for the
+Each query runs once to warm up and BENCH_REPEAT times (default 3) for the
 median; its whole result goes to a sink that discards it. The keyword model is
 fitted inside the timing of ``tfidf_fit`` only, as a service would do once per collection.
 """
@@ -26,6 +26,7 @@ HEADLINE = """
     active_user_stats user_stats overall_stats messages_per_period latency_stats top_questions active_sliding
     history_all last_message recent_conversations users_from_log sessions_gap latest_state constraint_audit
     detect_language detect_language_simple parse_transcript tokens parse_logs kb_dedup kb_snapshot_diff
+    vector_ivf similar_messages translate_lookup users_after_language stream_activity stream_sessions stream_latest_state
 """.split()
 
 
@@ -35,7 +36,7 @@ def _discard(df) -> None:
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     chosen = sys.argv[1:] or HEADLINE
 

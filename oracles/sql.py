@@ -658,6 +658,12 @@ def _statements() -> dict[str, str]:
             FROM {newest}""",
         "routed",
     )
+    sql["counters_after_save"] = with_views(
+        """SELECT c.id, c.user_id, c.message_count + count(m.id) AS message_count
+           FROM convs c LEFT JOIN messages m ON m.conversation_id = c.id AND m.id % 2 = 0
+           GROUP BY c.id, c.user_id, c.message_count""",
+        "convs", "messages",
+    )
     sql["users_after_language"] = with_views(
         """SELECT u.id, coalesce(m.language, u.preferred_language) AS preferred_language,
                   CASE WHEN m.language IS NOT NULL AND u.preferred_language IS DISTINCT FROM m.language

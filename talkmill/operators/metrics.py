@@ -126,6 +126,12 @@ def active_sliding(
     )
 
 
+# One file is one task: an export of more rows is a table, not a summary.
+MAX_EXPORT_ROWS = 1_000_000
+
+
 def export_csv(summary: DataFrame, path: str) -> None:
-    """Write a small aggregate as one CSV file with header."""
+    """Write a small aggregate as one CSV file with header; a large one is an error."""
+    if summary.limit(MAX_EXPORT_ROWS + 1).count() > MAX_EXPORT_ROWS:
+        raise ValueError(f"a summary of more than {MAX_EXPORT_ROWS} rows is not exported as one file")
     summary.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

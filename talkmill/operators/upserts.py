@@ -97,6 +97,13 @@ def sessionise(messages: DataFrame, gap: str = "30 minutes", ttl: str = "30 minu
     )
 
 
+def count_saved_messages(conversations: DataFrame, saved: DataFrame) -> DataFrame:
+    """Conversations with their stored counter raised by the messages just saved."""
+    added = saved.groupBy(F.col("conversation_id").alias("id")).agg(F.count(F.lit(1)).alias("_added"))
+    raised = F.coalesce("message_count", F.lit(0)) + F.coalesce("_added", F.lit(0))
+    return conversations.join(added, "id", "left").withColumn("message_count", raised).drop("_added")
+
+
 def language_changes(users: DataFrame, detections: DataFrame) -> DataFrame:
     """Users whose newest detected language differs from the preferred one."""
     latest = (

@@ -647,6 +647,14 @@ def language_changes(spark, folder):
     return upserts.language_changes(views.users(spark, folder), views.messages(spark, folder))
 
 
+@query
+def counters_after_save(spark, folder):
+    """Stored counters after every second message was saved once more."""
+    log = views.messages(spark, folder)
+    counted = upserts.count_saved_messages(views.conversations(spark, folder), log.where(F.col("id") % 2 == 0))
+    return counted.select("id", "user_id", "message_count")
+
+
 @query
 def users_after_language(spark, folder):
     changed = upserts.apply_language_changes(

@@ -45,7 +45,7 @@ def scratch_root(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
     if context.applicationId not in _own_folder:
         _own_folder[context.applicationId] = tempfile.mkdtemp(prefix="talkmill-")
