@@ -81,13 +81,18 @@ class SuffixAutomaton:
             last = new
 
     def table(self, symbols: int) -> np.ndarray:
-        """(states, symbols) next states; where a phrase ends, minus one minus the state in which the next one begins."""
-        first = [self.moves[0].get(symbol, 0) for symbol in range(symbols)]
-        out = np.tile(-1 - np.array(first, np.int32), (len(self.moves), 1))
+        """(states, symbols) next states; where a phrase ends, minus one minus the state in which the next one begins.
+
+        The last state holds a symbol that the text lacks, which is a phrase of its own.
+        """
+        lone = len(self.moves)
+        first = np.array([self.moves[0].get(symbol, lone) for symbol in range(symbols)], np.int32)
+        out = np.tile(-1 - first, (lone + 1, 1))
+        # a parse that begins has no phrase to end
+        out[0] = first
         for state, moves in enumerate(self.moves):
             for symbol, target in moves.items():
                 out[state, symbol] = target
-        # at the beginning of a phrase nothing has ended yet, but an unknown character is a phrase of its own
         return out
 
 
