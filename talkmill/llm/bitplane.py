@@ -42,7 +42,8 @@ from talkmill.session import ship_package
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
-KEPT_WORDS = 200_000
+KEPT_WORDS = 600_000
+_STOPS = (b".", b",")
 # Bytes of text that are split into words at once.
 SLICE_BYTES = 1 << 20
 
@@ -74,7 +75,8 @@ def from_planes(planes: list[bytes], count: int, unit: str = "byte") -> np.ndarr
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that never joins across white space, keeping the ids of words it has met."""
+    """Encodes texts with a tokenizer that lower-cases and never joins across white space, keeping the ids of words it
+    has met. A full stop or comma after a letter is a token of its own, so words are kept without it too."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -82,10 +84,14 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.kept: dict[bytes, bytes] = {}
+        encode = lambda x: self.tokenizer.encode(x.decode(), add_special_tokens=False)
+        self.stops = {stop: np.array(encode(stop).ids, "<u4").tobytes() for stop in _STOPS}
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         data, out, at = text.encode(), [], 0
+        if b"<|" not in data:  # special tokens are found before letters are changed
+            data = data.lower()
         while at < len(data):
             stop = at + SLICE_BYTES
             if stop < len(data):
@@ -97,15 +103,20 @@ class WordEncoder:
         return b"".join(out)
 
     def _encode_words(self, words: list[bytes]) -> bytes:
-        new = [word for word in dict.fromkeys(words) if word not in self.kept]
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept = {}
-            new = list(dict.fromkeys(words))
-        if new:
-            found = self.tokenizer.encode_batch([word.decode() for word in new], add_special_tokens=False)
-            for word, encoding in zip(new, found):
-                self.kept[word] = np.array(encoding.ids, "<u4").tobytes()
-        return b"".join(map(self.kept.__getitem__, words))
+        kept = self.kept
+        new = [word for word in set(words) if word not in kept]
+        if not new:
+            return b"".join(map(kept.__getitem__, words))
+        bare = {word: word[:-1] for word in new if word[-1:] in _STOPS and word[-2:-1].islower()}
+        needed = [word for word in {*bare.values(), *(word for word in new if word not in bare)} if word not in kept]
+        encodings = self.tokenizer.encode_batch_fast([word.decode() for word in needed], add_special_tokens=False)
+        found = {word: np.array(encoding.ids, "<u4").tobytes() for word, encoding in zip(needed, encodings)}
+        for word, core in bare.items():
+            found[word] = (found[core] if core in found else kept[core]) + self.stops[word[-1:]]
+        if len(kept) + len(found) <= KEPT_WORDS:
+            kept.update(found)
+            return b"".join(map(kept.__getitem__, words))
+        return b"".join([kept[word] if word in kept else found[word] for word in words])
 
 
 _encoders: dict[int, WordEncoder] = {}
