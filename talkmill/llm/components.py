@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from talkmill.session import cut_lineage
 
 
+# So many edges fit into one task many times over, and need no shuffle there.
+SMALL_EDGES = 200_000
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """Checkpointed edges, in one partition if their number is small."""
+    kept = cut_lineage(edges)
+    if kept.rdd.getNumPartitions() > 1 and kept.count() <= SMALL_EDGES:
+        kept = cut_lineage(kept.coalesce(1))
+    return kept
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): the smallest node that it is connected with.
 
@@ -15,25 +27,25 @@ def components(edges: DataFrame) -> DataFrame:
     node sends its larger neighbours to the smallest node it knows, then the
     others. Minima are combined before each shuffle and a node with very many
     neighbours is a skewed join side, which adaptive execution splits; nothing
-    is collected.
+    is collected. A small number of edges, which is counted, stays in one task.
     """
-    current = cut_lineage(
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    current = _settled(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     mark = None
     while True:
-        both = current.union(current.select("b", "a"))
+        both = current.select(F.inline(F.array(pair("a", "b"), pair("b", "a"))))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select("a", F.col("m").alias("b")).union(
-            joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        )
+        small = large.join(least, "a").select(F.inline(F.array(pair("a", "m"), pair("b", "m"))))
         current = cut_lineage(small.where("a <> b").distinct())
         now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
-    stars = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.union(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return current.select(
+        F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")),
+                         F.struct(F.col("b").alias("node"), F.col("b").alias("component"))))
+    ).distinct()
