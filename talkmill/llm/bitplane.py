@@ -29,6 +29,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -44,6 +45,7 @@ LEVEL = 3
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 KEPT_WORDS = 600_000
 _STOPS = (b".", b",")
+_BETWEEN = b"\x01"
 # Bytes of text that are split into words at once.
 SLICE_BYTES = 1 << 20
 
@@ -84,8 +86,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.kept: dict[bytes, bytes] = {}
-        encode = lambda x: self.tokenizer.encode(x.decode(), add_special_tokens=False)
-        self.stops = {stop: np.array(encode(stop).ids, "<u4").tobytes() for stop in _STOPS}
+        self.stops = {stop: self._ids(stop).tobytes() for stop in _STOPS}
+        (self.between,) = self._ids(_BETWEEN).tolist()  # one id, which only texts with the character can have
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -109,8 +111,7 @@ class WordEncoder:
             return b"".join(map(kept.__getitem__, words))
         bare = {word: word[:-1] for word in new if word[-1:] in _STOPS and word[-2:-1].islower()}
         needed = [word for word in {*bare.values(), *(word for word in new if word not in bare)} if word not in kept]
-        encodings = self.tokenizer.encode_batch_fast([word.decode() for word in needed], add_special_tokens=False)
-        found = {word: np.array(encoding.ids, "<u4").tobytes() for word, encoding in zip(needed, encodings)}
+        found = self._encode_each(needed)
         for word, core in bare.items():
             found[word] = (found[core] if core in found else kept[core]) + self.stops[word[-1:]]
         if len(kept) + len(found) <= KEPT_WORDS:
@@ -119,6 +120,23 @@ class WordEncoder:
         return b"".join([kept[word] if word in kept else found[word] for word in words])
 
 
+    def _encode_each(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word: all are encoded as one text, with a control character between them."""
+        odd = [word for word in words if _BETWEEN in word]
+        plain = [word for word in words if _BETWEEN not in word]
+        found = {word: self._ids(word).tobytes() for word in odd}
+        if plain:
+            ids = self._ids((b" " + _BETWEEN + b" ").join(plain))
+            cuts = (4 * np.flatnonzero(ids == self.between)).tolist()
+            data = ids.tobytes()
+            found |= zip(plain, (data[a:b] for a, b in zip([0, *(cut + 4 for cut in cuts)], [*cuts, len(data)])))
+        return found
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        (encoding,) = self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)
+        return np.array(encoding.ids, "<u4")
+
+
 _encoders: dict[int, WordEncoder] = {}
 
 _PIECES = "doc_ids array<{key}>, places array<long>, skipped array<long>, sizes array<int>, totals array<long>"
@@ -194,22 +212,24 @@ def write(docs: DataFrame, path: str, definition_path: str, end_id: int, unit: s
     encoded.mapInArrow(blocks, _SCHEMA.format(key=kind)).write.option("compression", "none").parquet(path)
 
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks to document pieces with their ids."""
+def _open(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks to pieces with their ids: whole documents, or parts of documents."""
     for batch in batches:
         for k in range(batch.num_rows):
             (row,) = batch.slice(k, 1).to_pylist()
             ids = from_planes(row["planes"], row["n_ids"], row["unit"])
             ends = np.cumsum(row["sizes"])
             starts = ends - row["sizes"]
+            keep = np.flatnonzero((np.array(row["sizes"]) == np.array(row["totals"])) == whole)
+            starts, ends = starts[keep], ends[keep]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([row["shard"]] * len(ends), pa.int32()),
-                    pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type),
-                    pa.array(row["places"], pa.int64()),
+                    pa.array([row["doc_ids"][i] for i in keep], batch.schema.field("doc_ids").type.value_type),
+                    pa.array([row["places"][i] for i in keep], pa.int64()),
                     pa.array(row["first"] + starts, pa.int64()),
-                    pa.array(row["skipped"], pa.int64()),
-                    pa.array(row["totals"], pa.int64()),
+                    pa.array([row["skipped"][i] for i in keep], pa.int64()),
+                    pa.array([row["totals"][i] for i in keep], pa.int64()),
                     pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
                 ],
                 names=["shard", "doc_id", "place", "at", "skipped", "n_tokens", "id_bytes"],
@@ -225,19 +245,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     ship_package(spark)
     blocks = spark.read.parquet(path)
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    pieces = blocks.mapInArrow(
-        _open, f"shard int, doc_id {kind}, place long, at long, skipped long, n_tokens long, id_bytes binary"
-    )
+    schema = f"shard int, doc_id {kind}, place long, at long, skipped long, n_tokens long, id_bytes binary"
+    documents = blocks.mapInArrow(partial(_open, whole=True), schema)
+    pieces = blocks.mapInArrow(partial(_open, whole=False), schema)
     # one row per shard
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    is_whole = F.octet_length("id_bytes") == 4 * F.col("n_tokens")
     columns = ["shard", "doc_id", "at", "n_tokens", "id_bytes"]
     parts = F.sort_array(F.collect_list(F.struct("skipped", "id_bytes")))
     joined = (
-        pieces.where(~is_whole)
-        .groupBy("shard", "place")
+        pieces.groupBy("shard", "place")
         .agg(
             F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.first("n_tokens").alias("n_tokens"),
             parts.alias("parts"),
@@ -246,7 +264,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             "id_bytes", F.aggregate("parts", F.lit(b""), lambda total, part: F.concat(total, part["id_bytes"]))
         )
     )
-    whole = pieces.where(is_whole).select(*columns).union(joined.select(*columns))
+    whole = documents.select(*columns).union(joined.select(*columns))
     return whole.join(F.broadcast(offsets), "shard").select(
         "doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "id_bytes"
     )
