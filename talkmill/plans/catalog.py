@@ -559,17 +559,20 @@ def similar_messages(spark, folder):
     )
 
 
+def _indexed(spark, folder):
+    lists = vectors.InvertedLists(views.vectors(spark, folder))
+    return lists.search(views.question_vectors(spark, folder), K_VECTORS)
+
+
 @query
 def vector_ivf(spark, folder):
-    lists = vectors.InvertedLists(views.vectors(spark, folder))
-    return _with_similarity(lists.search(views.question_vectors(spark, folder), K_VECTORS, probes=6))
+    return _with_similarity(_indexed(spark, folder))
 
 
 @query
 def vector_ivf_recall(spark, folder):
-    """Rows per question of an index search over half of the lists, and whether four of five are the nearest."""
-    lists = vectors.InvertedLists(views.vectors(spark, folder), lists=16)
-    found = lists.search(views.question_vectors(spark, folder), K_VECTORS, probes=12).select("query_id", "id")
+    """Rows per question of the search of ``vector_ivf``, and whether four of five are the nearest."""
+    found = _indexed(spark, folder).select("query_id", "id")
     exact = _semantic(spark, folder).select("query_id", "id", F.lit(True).alias("_near"))
     share = F.count("_near") / F.count(F.lit(1))
     return found.join(exact, ["query_id", "id"], "left").groupBy("query_id").agg(

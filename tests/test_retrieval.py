@@ -256,3 +256,26 @@ def test_inverted_lists_recall(spark):
     assert {(r.query_id, r.id) for r in lists.search(wanted, 5, probes=10).collect()} == exact
     plan = lists.search(wanted.limit(1), 5, probes=1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(list_id" in plan or "PartitionFilters: [(list_id" in plan
+
+
+def test_probes_follow_the_number_of_lists(spark):
+    import numpy as np
+
+    points = np.random.default_rng(8).normal(size=(900, 16)).astype("float32")
+    stored = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(points)], "id long, embedding array<float>, user_id long")
+    wanted = stored.where("id % 9 = 0").withColumnRenamed("id", "query_id")
+    exact = {(r.query_id, r.id) for r in vectors.vector_topk(stored, wanted, 5).collect()}
+    lists = vectors.InvertedLists(stored)
+    found = {(r.query_id, r.id) for r in lists.search(wanted, 5).collect()}
+    assert lists.lists == 30 and len(exact & found) / len(exact) >= 0.9
+
+
+def test_recall_query_runs_the_search_of_the_index_query(spark, data, monkeypatch):
+    from talkmill.plans import catalog
+
+    calls = []
+    search = vectors.InvertedLists.search
+    monkeypatch.setattr(vectors.InvertedLists, "search", lambda self, *args, **more: calls.append((self.lists, args[1:], more)) or search(self, *args, **more))
+    catalog.QUERIES["vector_ivf"](spark, data)
+    catalog.QUERIES["vector_ivf_recall"](spark, data)
+    assert calls[0] == calls[1]
