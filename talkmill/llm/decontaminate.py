@@ -1,14 +1,24 @@
-"""Benchmark decontamination by SimHash windows.
-
-Each benchmark item is cut to a leading and a trailing window of a size class
-(about three quarters of the item), and each window gets a 64-bit SimHash of its
-word pairs. Over every document windows of the same sizes slide word by word.
-Fingerprints of a window and an item that differ in at most ``RADIUS`` bits
-differ in at most ``RADIUS // 4`` bits in one of four blocks of 16 bits, so a
-table of each block's values within that distance finds all of them. A candidate
-is then aligned with the whole item, and its weighted shingle similarity is
-computed exactly: five-word shingles with their counts, each weighing one over
-the number of items that have it, minima over maxima, at least ``SIMILARITY``.
+"""Benchmark decontamination by SimHash windows and rare shingles.
+
+A window matches an item if their weighted shingle similarity is at least
+``SIMILARITY``: five-word shingles with their counts, each weighing one over the
+number of items of the pass that have it, minima over maxima. Windows
+have the item's number of words and are cut where they hang over an end of the text.
+
+Candidates come from two searches. Each item is cut to a leading and a trailing
+window of a size class (about three quarters of the item), and each window gets a
+64-bit SimHash of its word pairs. Over every document windows of the same sizes
+slide word by word. Fingerprints of a window and an item that differ in at most
+``RADIUS`` bits differ in at most ``RADIUS // 4`` bits in one of four blocks of 16
+bits, so a table of each block's values within that distance finds all of them.
+Fingerprints alone miss matches whose changes lie close together. Therefore each
+item also has anchors: its heaviest shingles, until they weigh more than one minus
+``SIMILARITY`` of the item. A window without any of them cannot match, so documents
+that hold an anchor are candidates, and no match is missed.
+
+A candidate document is compared with the item at every place. The shared weight
+only changes where a shared shingle enters or leaves the window, so it is a sum of
+steps, and only stretches where it suffices are looked at closely.
 
 Documents are searched where they are read; nothing of the corpus is shuffled or
 collected. The benchmark is broadcast in passes of at most ``ITEMS_PER_PASS``
@@ -114,10 +124,17 @@ class _Tables:
 class Searcher:
     """The benchmark items of one pass, ready to be looked for."""
 
-    def __init__(self, items: list[tuple], radius: int = RADIUS, similarity: float = SIMILARITY):
+    def __init__(
+        self, items: list[tuple], radius: int = RADIUS, similarity: float = SIMILARITY,
+        shared: tuple[np.ndarray, np.ndarray] | None = None,
+    ):
+        """``shared``: the sorted shingles that more than one item of the benchmark has, and how many have each.
+
+        Without it, ``items`` are taken as the whole benchmark.
+        """
         self.similarity = similarity
         self.ids, self.sizes, self.shingles = [], [], []
-        windows: dict[int, list[tuple[int, int, np.uint64]]] = defaultdict(list)
+        windows: dict[int, list[tuple[int, np.uint64]]] = defaultdict(list)
         holders: Counter[int] = Counter()
         for item_id, text in items:
             words = text_words(text)
@@ -128,27 +145,94 @@ class Searcher:
             size = max(s for s in SIZES if s == SIZES[0] or 4 * s <= 3 * len(words))
             prints = fingerprints(window_hashes(words, 2), size)
             for offset in {0, len(words) - size}:
-                windows[size].append((len(self.ids), offset, prints[offset]))
+                windows[size].append((len(self.ids), prints[offset]))
             self.ids.append(item_id)
             self.sizes.append(len(words))
             self.shingles.append(shingles)
-        self.weight = {shingle: 1 / count for shingle, count in holders.items()}
+        if shared is None:
+            often = sorted(shingle for shingle, count in holders.items() if count > 1)
+            shared = np.array(often, np.uint64), np.array([holders[shingle] for shingle in often], np.int64)
+        self.shared = shared
         self.tables = {
-            size: (
-                _Tables(np.array([w[2] for w in found], np.uint64), radius),
-                np.array([w[0] for w in found]),
-                np.array([w[1] for w in found]),
-            )
+            size: (_Tables(np.array([w[1] for w in found], np.uint64), radius), np.array([w[0] for w in found]))
             for size, found in windows.items()
         }
+        # every item's shingles as places in ``known``, their counts and weights
+        self.known = np.array(sorted(holders), np.uint64)
+        self.weight = self._weights(self.known)
+        self.members, self.masses = [], []
+        anchors: list[tuple[int, int]] = []
+        for item, shingles in enumerate(self.shingles):
+            place = np.searchsorted(self.known, np.array(sorted(shingles), np.uint64))
+            count = np.array([n for _, n in sorted(shingles.items())], np.int64)
+            mass = count * self.weight[place]
+            self.members.append((place, count))
+            self.masses.append(mass.sum())
+            order = np.lexsort((place, -mass))
+            enough = np.searchsorted(np.cumsum(mass[order]), (1 - similarity) * mass.sum() + 1e-9, side="right") + 1
+            anchors.extend((int(p), item) for p in place[order[:enough]])
+        anchors.sort()
+        self.anchor_items = np.array([item for _, item in anchors], np.int64)
+        self.anchor_starts = np.searchsorted(np.array([p for p, _ in anchors], np.int64), np.arange(len(self.known) + 1))
+
+    def _weights(self, shingles: np.ndarray) -> np.ndarray:
+        """One over the number of items that have a shingle; 1 if none has it."""
+        keys, counts = self.shared
+        out = np.ones(len(shingles))
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+            hit = keys[at] == shingles
+            out[hit] = 1 / counts[at[hit]]
+        return out
 
     def _alike(self, window: np.ndarray, item: int) -> float:
         """Weighted minima over weighted maxima of the shingle counts."""
         mine, theirs = Counter(window.tolist()), self.shingles[item]
-        weight = self.weight.get
-        both = sum(min(n, mine[s]) * weight(s, 1.0) for s, n in theirs.items())
-        most = sum(max(n, mine[s]) * weight(s, 1.0) for s, n in theirs.items())
-        return both / (most + sum(n * weight(s, 1.0) for s, n in mine.items() if s not in theirs))
+        names = np.array(sorted(mine.keys() | theirs.keys()), np.uint64)
+        weights = self._weights(names)
+        pairs = np.array([(mine[s], theirs[s]) for s in names.tolist()])
+        return round(float(pairs.min(axis=1) @ weights) / float(pairs.max(axis=1) @ weights), 12)
+
+    def _best(self, shingles: np.ndarray, total: np.ndarray, known: tuple[np.ndarray, np.ndarray], item: int) -> tuple | None:
+        """The first of the most similar windows of one document: (start_word, n_words, similarity).
+
+        ``total``: the summed weights before each shingle; ``known``: the places in ``self.known`` of the document's
+        shingles, sorted, and where they stand.
+        """
+        names, at = known
+        place, count = self.members[item]
+        low, high = np.searchsorted(names, place, side="left"), np.searchsorted(names, place, side="right")
+        needed = self.similarity * self.masses[item] - 1e-9
+        weight = self.weight[place]
+        if np.minimum(high - low, count) @ weight < needed:
+            return None
+        width = self.sizes[item] - SHINGLE + 1
+        # an occurrence adds to windows that begin after the count-th one before it, so that minima are summed
+        sizes = high - low
+        owner = np.repeat(np.arange(len(place)), sizes)
+        index = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        row = low[owner] + index
+        end = at[row]
+        begin = end - width + 1
+        later = index >= count[owner]
+        begin[later] = np.maximum(begin[later], at[row[later] - count[owner[later]]] + 1)
+        gains = begin <= end
+        begin, end, step = begin[gains], end[gains], weight[owner[gains]]
+        turns, inverse = np.unique(np.concatenate([begin, end + 1]), return_inverse=True)
+        both = np.cumsum(np.bincount(inverse, np.concatenate([step, -step])))
+        best = None
+        for k in np.flatnonzero(both >= needed):
+            starts = np.arange(turns[k], turns[k + 1])
+            mine = total[np.minimum(starts + width, len(shingles))] - total[np.maximum(starts, 0)]
+            first = int(np.argmin(np.round(mine, 9)))
+            alike = round(both[k] / (self.masses[item] + mine[first] - both[k]), 9)
+            if best is None or alike > best[0]:
+                best = alike, int(starts[first])
+        if best is None or best[0] < self.similarity - 1e-6:
+            return None
+        start, stop = max(best[1], 0), min(best[1] + self.sizes[item], len(shingles) + SHINGLE - 1)
+        alike = self._alike(shingles[start : stop - SHINGLE + 1], item)
+        return (start, stop - start, alike) if alike >= self.similarity else None
 
     def search(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text its matches (item_id, start_word, n_words, similarity), one per item."""
@@ -176,20 +260,39 @@ class Searcher:
         np.cumsum(np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.uint8, out=counts[1:])
         shingles = window_hashes(words, SHINGLE)
         end_of = np.repeat(ends, lengths)
-        for size, (tables, items, offsets) in self.tables.items():
+        near: set[tuple[int, int]] = set()
+        for size, (tables, items) in self.tables.items():
             if len(words) < size:
                 continue
             inside = np.flatnonzero(np.arange(len(words) - size + 1) + size <= end_of[: len(words) - size + 1])
             row, entry = tables.search(_signs(counts, size - 1)[inside])
-            places = set()
-            for r, e in zip(inside[row], entry):
-                doc = int(np.searchsorted(ends, r, side="right"))
-                places.add((doc, max(int(r - offsets[e]), int(ends[doc] - lengths[doc])), int(items[e])))
-            for doc, start, item in sorted(places):
-                stop = min(start + self.sizes[item], int(ends[doc]))
-                alike = self._alike(shingles[start : max(start, stop - SHINGLE + 1)], item)
-                if alike >= self.similarity and alike > best[doc].get(item, (0, 0, 0.0))[2]:
-                    best[doc][item] = (start - int(ends[doc] - lengths[doc]), stop - start, alike)
+            docs = np.searchsorted(ends, inside[row], side="right")
+            near.update(zip(docs.tolist(), items[entry].tolist()))
+        if len(shingles):
+            inside = np.arange(len(shingles)) + SHINGLE <= end_of[: len(shingles)]
+            place = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
+            hit = np.flatnonzero((self.known[place] == shingles) & inside)
+            place = place[hit]
+            size = self.anchor_starts[place + 1] - self.anchor_starts[place]
+            entry = np.arange(size.sum()) + np.repeat(self.anchor_starts[place] - (np.cumsum(size) - size), size)
+            docs = np.searchsorted(ends, np.repeat(hit, size), side="right")
+            pairs = np.unique(docs * len(self.ids) + self.anchor_items[entry])
+            near.update(zip((pairs // len(self.ids)).tolist(), (pairs % len(self.ids)).tolist()))
+            hit_starts = np.searchsorted(hit, np.concatenate([ends - lengths, ends[-1:]]))
+        ready, last = None, -1
+        for doc, item in sorted(near):
+            first, stop = int(ends[doc] - lengths[doc]), int(ends[doc]) - SHINGLE + 1
+            if stop <= first:
+                continue
+            if doc != last:
+                own = slice(hit_starts[doc], hit_starts[doc + 1])
+                order = np.argsort(place[own], kind="stable")
+                mine = shingles[first:stop]
+                total = np.concatenate([[0.0], np.cumsum(self._weights(mine))])
+                ready, last = (mine, total, (place[own][order], hit[own][order] - first)), doc
+            found = self._best(*ready, item)
+            if found:
+                best[doc][item] = found
         return [[(self.ids[item], *found) for item, found in sorted(matches.items())] for matches in best]
 
 

@@ -87,3 +87,56 @@ def test_query_finds_what_holds_most_of_an_item(spark, data):
         shingles = set(window_hashes(d.text_words(r.text), 5).tolist())
         wanted |= {(r.doc_id, k) for k, s in sets.items() if s and len(s & shingles) >= 0.9 * len(s)}
     assert {(r.doc_id, r.item_id) for r in op7_decontaminate(spark, data).collect()} == wanted
+
+
+def plain_matches(items, text, similarity=0.75):
+    """Every item whose most similar window, of the item's size and cut at the ends, is similar enough, by a scan."""
+    sets = [Counter(window_hashes(d.text_words(t), 5).tolist()) for _, t in items]
+    holders = Counter(s for one in sets for s in one)
+    weight = lambda s: 1 / max(holders[s], 1)
+    words, out = d.text_words(text), {}
+    for (item, body), theirs in zip(items, sets):
+        size = len(d.text_words(body))
+        for start in range(5 - size, len(words) - 4):
+            window = words[max(start, 0) : start + size]
+            mine = Counter(window_hashes(window, 5).tolist())
+            both = sum(n * weight(s) for s, n in (mine & theirs).items())
+            alike = round(both / sum(n * weight(s) for s, n in (mine | theirs).items()), 9)
+            if alike >= similarity and alike > out.get(item, (0, 0, 0))[2]:
+                out[item] = max(start, 0), len(window), alike
+    return out
+
+
+def edited(rng, item, where):
+    """An item with about an eighth of its words replaced in one or two stretches, or cut off."""
+    n, cut = len(item), max(1, (len(item) - 4) // 7 - 4)
+    fresh = words(rng, n)
+    if where == "middle":
+        at = rng.randint(1, n - cut - 1)
+        return item[:at] + fresh[:cut] + item[at + cut :]
+    if where == "ends":
+        return fresh[: n // 15] + item[n // 15 : n - n // 15] + fresh[n - n // 15 :]
+    if where == "insert":
+        return item[: n // 2] + fresh[: n // 12] + item[n // 2 :]
+    return item[n // 6 :] if where == "head off" else item[: n - n // 6]
+
+
+@pytest.mark.parametrize("where", ["middle", "ends", "insert", "head off", "tail off"])
+def test_edited_items_are_those_of_a_plain_scan(where):
+    rng = random.Random(where)
+    phrase = words(rng, 12)
+    items = []
+    for k, n in enumerate([12, 20, 50, 50, 100, 100, 200, 260, 400]):
+        body = words(rng, n)
+        if k % 2:
+            body[3 : 3 + min(len(phrase), n // 2)] = phrase[: n // 2]  # items share shingles
+        items.append((k, " ".join(body)))
+    texts = []
+    for k, (_, body) in enumerate(items):
+        around = 0 if where.endswith("off") else 30
+        texts.append(" ".join(words(rng, around) + edited(rng, body.split(), where) + words(rng, 30 if where == "tail off" and k % 2 else around)))
+    got = d.Searcher(items).search(texts)
+    wanted = [plain_matches(items, text) for text in texts]
+    assert sum(map(len, wanted)) >= 5
+    for found, plain in zip(got, wanted):
+        assert {row[0]: (row[1], row[2], pytest.approx(row[3])) for row in found} == plain
