@@ -2,7 +2,7 @@
 
 A window matches an item if their weighted shingle similarity is at least
 ``SIMILARITY``: five-word shingles with their counts, each weighing one over the
-number of items of the pass that have it, minima over maxima. Windows
+number of items of the whole benchmark that have it, minima over maxima. Windows
 have the item's number of words and are cut where they hang over an end of the text.
 
 Candidates come from two searches. Each item is cut to a leading and a trailing
@@ -22,7 +22,8 @@ steps, and only stretches where it suffices are looked at closely.
 
 Documents are searched where they are read; nothing of the corpus is shuffled or
 collected. The benchmark is broadcast in passes of at most ``ITEMS_PER_PASS``
-items, each one scan of the corpus.
+items, each one scan of the corpus. Shingles are counted over the whole benchmark
+beforehand; those of more than one item are broadcast with every pass, 12 bytes each.
 
 Words are runs of letters, digits and non-ASCII characters with A-Z in lower
 case. Defined results: null or empty texts contain nothing; items with fewer than
@@ -304,6 +305,22 @@ def _passes(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
         yield [tuple(row) for row in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]
 
 
+def _shared(benchmark: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted shingles that more than one item has, and how many have each."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(window_hashes(text_words(text), SHINGLE)) for text in batch.column(0).to_pylist()]
+            every = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.int64())], names=["shingle"])
+
+    each = take_columns(benchmark, text="text").mapInArrow(distinct, "shingle long")
+    often = each.groupBy("shingle").count().where("count > 1").toArrow()
+    keys, counts = often["shingle"].to_numpy().view(np.uint64), often["count"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order].astype(np.uint32)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, *, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): every document's benchmark items and where they stand.
 
@@ -315,11 +332,12 @@ def find(docs: DataFrame, benchmark: DataFrame, *, radius: int = RADIUS, similar
     kinds = {name: frame.schema[name].dataType.simpleString() for frame, name in ((docs, "doc_id"), (benchmark, "item_id"))}
     schema = f"doc_id {kinds['doc_id']}, {MATCH.format(item=kinds['item_id'])}"
     found = None
+    often = spark.sparkContext.broadcast(_shared(benchmark))
     for items in _passes(benchmark, "item_id", "text"):
         shared = spark.sparkContext.broadcast((items, radius, similarity))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(*shared.value)
+            searcher = Searcher(*shared.value, often.value)
             for batch in batches:
                 keys = batch.column(0).to_pylist()
                 hits = searcher.search(batch.column(1).to_pylist())
@@ -341,12 +359,13 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no benchmark item, with all their columns; each row is judged where it is read."""
     spark = docs.sparkSession
     ship_package(spark)
+    often = spark.sparkContext.broadcast(_shared(benchmark))
     for items in _passes(benchmark, "item_id", "text"):
         shared = spark.sparkContext.broadcast((items, RADIUS, SIMILARITY))
         at = docs.columns.index("text")
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(*shared.value)
+            searcher = Searcher(*shared.value, often.value)
             for batch in batches:
                 hits = searcher.search(batch.column(at).to_pylist())
                 yield batch.filter(pa.array([not matches for matches in hits], pa.bool_()))

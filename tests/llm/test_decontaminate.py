@@ -140,3 +140,22 @@ def test_edited_items_are_those_of_a_plain_scan(where):
     assert sum(map(len, wanted)) >= 5
     for found, plain in zip(got, wanted):
         assert {row[0]: (row[1], row[2], pytest.approx(row[3])) for row in found} == plain
+
+
+def test_passes_do_not_change_the_weights_of_shared_phrases(spark, monkeypatch):
+    rng = random.Random(6)
+    phrases = [words(rng, 14) for _ in range(4)]
+    items = [(k, " ".join(words(rng, 15) + phrases[k % 4] + words(rng, 6))) for k in range(40)]
+    docs = []
+    for k, (_, body) in enumerate(items):
+        body = body.split()
+        body[k % 3 : k % 3 + 1 + k % 4] = words(rng, 1)
+        docs.append((k, " ".join(words(rng, 5) + body + phrases[(k + 1) % 4])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one_pass = sorted(map(tuple, d.find(frame, benchmark).collect()))
+    assert one_pass == sorted((k, *row) for k, found in enumerate(d.Searcher(items).search([t for _, t in docs])) for row in found)
+    monkeypatch.setattr(d, "ITEMS_PER_PASS", 5)
+    assert sorted(map(tuple, d.find(frame, benchmark).collect())) == one_pass and len(one_pass) > 10
+    kept = {r.doc_id for r in d.clean(frame, benchmark).collect()}
+    assert kept == {k for k, _ in docs} - {row[0] for row in one_pass}
