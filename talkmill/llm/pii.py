@@ -54,7 +54,7 @@ _LOOSE = {
     r"(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,63}+)++",
     "card": r"(?<![0-9])[0-9](?=(?:[ -]?[0-9]){12})(?:[ -]?[0-9])++",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
-    "secret": r"(?i)(?<=" + _SECRET_WORD + r"[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})[A-Za-z0-9_+/.-]{8,256}+",
+    "secret": r"(?i)(?<=" + _SECRET_WORD + r"[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})[A-Za-z0-9_+/.-]{8,}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 _LOOSE_TRIED = {

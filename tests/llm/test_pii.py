@@ -99,3 +99,11 @@ def test_estimation_finds_the_reliable_labelers():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.redact(docs).count() == 0
+
+
+def test_a_long_secret_is_marked_to_its_end(spark):
+    long = "aB3" * 200
+    docs = spark.createDataFrame([(k, f"token={long} end") for k in range(3)], "doc_id long, text string")
+    found = docs.select(F.explode(pii._candidates(F.col("text"))).alias("c")).select("c.kind", "c.start", "c.end").distinct()
+    assert [tuple(row) for row in found.collect()] == [("secret", 6, 606)]
+    assert {r.text for r in pii.redact(docs).collect()} == {"token=[SECRET] end"}
