@@ -12,10 +12,13 @@ characters: all blocks of an Arrow batch then step through the automata side by
 side, one array look-up for each character and language, also for very long
 texts. Documents are read where they are stored and nothing is shuffled.
 
-The automata are built on the driver from at most ``ROWS_PER_LANGUAGE`` documents
-of each language (smallest hash of the id), at most ``ROW_CHARACTERS`` characters
-of each, ``MODEL_CHARACTERS`` of all languages together, and ``LANGUAGES``
-languages (the most frequent). That bounds the table that is broadcast.
+Every label that has a text is learnt, each in a Spark task of its own, from at most
+``ROWS_PER_LANGUAGE`` documents (smallest hash of the id), ``ROW_CHARACTERS``
+characters of each and ``LANGUAGE_CHARACTERS`` in all. A language knows all letters
+of its own text. Its moves are broadcast as sorted lists, 12 bytes each and at most
+three for a character. Tasks write those of the ``COLUMNS`` most frequent letters out as
+a table and look rarer ones up; tables beyond ``TABLE_BYTES`` are made anew for
+each set of blocks, so memory does not grow with tables of many languages.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so
 is every text if nothing could be learnt. Equal phrase counts go to the language
@@ -42,9 +45,10 @@ UNKNOWN = "und"
 BLOCK = 512
 ROWS_PER_LANGUAGE = 64
 ROW_CHARACTERS = 4_000
-MODEL_CHARACTERS = 240_000
-LANGUAGES = 64
-ALPHABET = 63
+LANGUAGE_CHARACTERS = 60_000
+# Symbols of a language with a column in its table: the blank, the unknown letter and its most frequent letters.
+COLUMNS = 64
+TABLE_BYTES = 192 << 20
 # Blocks that are parsed side by side.
 LANES = 1 << 13
 
@@ -80,36 +84,81 @@ class SuffixAutomaton:
                     link[target] = link[new] = copy
             last = new
 
-    def table(self, symbols: int) -> np.ndarray:
-        """(states, symbols) next states; where a phrase ends, minus one minus the state in which the next one begins.
+    def sorted_moves(self) -> tuple[np.ndarray, np.ndarray]:
+        """All moves as sorted keys, state * 2**32 + symbol, and the states they lead to."""
+        found = sorted((state << 32 | symbol, to) for state, moves in enumerate(self.moves) for symbol, to in moves.items())
+        return np.array([key for key, _ in found], np.int64), np.array([to for _, to in found], np.int32)
 
-        The last state holds a symbol that the text lacks, which is a phrase of its own.
-        """
-        lone = len(self.moves)
-        first = np.array([self.moves[0].get(symbol, lone) for symbol in range(symbols)], np.int32)
-        out = np.tile(-1 - first, (lone + 1, 1))
+
+@dataclass
+class Language:
+    """A language's letters, the most frequent first, and the moves of its automaton.
+
+    Symbol 0 is a blank, 1 a letter that the language does not know, 2 and more its letters.
+    """
+
+    name: str
+    letters: str
+    keys: np.ndarray
+    targets: np.ndarray
+    states: int
+
+    def columns(self) -> int:
+        return min(COLUMNS, len(self.letters) + 2)
+
+    def first(self) -> np.ndarray:
+        """The state in which a phrase begins for each symbol; the last state is that of a letter without moves."""
+        out = np.full(len(self.letters) + 2, self.states, np.int32)
+        begin = self.keys < 1 << 32
+        out[self.keys[begin]] = self.targets[begin]
+        return out
+
+    def table(self) -> np.ndarray:
+        """(states, columns) next states; where a phrase ends, minus one minus the state in which the next one begins."""
+        first, width = self.first()[: self.columns()], self.columns()
+        out = np.tile(-1 - first, (self.states + 1, 1))
         # a parse that begins has no phrase to end
         out[0] = first
-        for state, moves in enumerate(self.moves):
-            for symbol, target in moves.items():
-                out[state, symbol] = target
+        state, symbol = self.keys >> 32, self.keys & 0xFFFFFFFF
+        low = symbol < width
+        out[state[low], symbol[low]] = self.targets[low]
         return out
 
+    def rare(self, state: np.ndarray, symbol: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The same as the table for symbols beyond its columns."""
+        wanted = (state.astype(np.int64) << 32) | symbol
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        begins = first[symbol]
+        return np.where(self.keys[at] == wanted, self.targets[at], np.where(state == 0, begins, -1 - begins))
+
+
+def learn(name: str, rows: list[str], characters: int) -> Language:
+    """A language from some of its text."""
+    seen = Counter(c for row in rows for c in row.lower() if c.isalpha())
+    letters = "".join(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])))
+    alone = Model([Language(name, letters, np.zeros(0, np.int64), np.zeros(0, np.int32), 0)])
+    own = alone.own_symbols(0)
+    text = np.concatenate([own[alone.encode(row + " ")] for row in rows])[:characters]
+    automaton = SuffixAutomaton(text.tolist())
+    keys, targets = automaton.sorted_moves()
+    return Language(name, letters, keys, targets, len(automaton.moves))
+
 
-@dataclass
 class Model:
-    """Languages, letters and the joined move tables of all automata."""
+    """The learnt languages, the one that wins a tie first."""
 
-    languages: list[str]
-    letters: str
-    table: np.ndarray
-    roots: np.ndarray
+    def __init__(self, known: list[Language]):
+        self.known = known
+        self.languages = [language.name for language in known]
+        self.letters = "".join(sorted({c for language in known for c in language.letters}))
+        self._tables: dict[int, np.ndarray] = {}
+        self._own: dict[int, np.ndarray] = {}
 
     def symbols(self) -> np.ndarray:
-        """Symbol of every code point: 0 is a blank, 1 a letter that the model does not know."""
+        """Symbol of every code point: 0 is a blank, 1 a letter that no language knows."""
         if not hasattr(self, "_symbols"):
             known = {letter: k + 2 for k, letter in enumerate(self.letters)}
-            out = np.zeros(0x110000, np.uint8)
+            out = np.zeros(0x110000, np.int32)
             for code in range(0x110000):
                 c = chr(code)
                 if c.isalpha():
@@ -118,6 +167,13 @@ class Model:
             self._symbols = out
         return self._symbols
 
+    def own_symbols(self, k: int) -> np.ndarray:
+        """The symbol of a language for each symbol of the model."""
+        if k not in self._own:
+            place = {letter: n + 2 for n, letter in enumerate(self.known[k].letters)}
+            self._own[k] = np.array([0, 1, *[place.get(letter, 1) for letter in self.letters]], np.int32)
+        return self._own[k]
+
     def encode(self, text: str) -> np.ndarray:
         """The symbols of a text, with every run of blanks as one."""
         found = self.symbols()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
@@ -127,7 +183,7 @@ class Model:
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(texts, languages) numbers of phrases."""
-        total = np.zeros((len(texts), len(self.roots)), np.int64)
+        total = np.zeros((len(texts), len(self.known)), np.int64)
         blocks, owners = [], []
         for k, symbols in enumerate(texts):
             for at in range(0, len(symbols), BLOCK):
@@ -140,64 +196,79 @@ class Model:
             self._add(blocks, owners, total)
         return total
 
+    def _table(self, k: int) -> np.ndarray:
+        if k in self._tables:
+            return self._tables[k]
+        table = self.known[k].table()
+        if sum(kept.nbytes for kept in self._tables.values()) + table.nbytes <= TABLE_BYTES:
+            self._tables[k] = table
+        return table
+
     def _add(self, blocks: list[np.ndarray], owners: list[int], total: np.ndarray) -> None:
         sizes = np.array([len(block) for block in blocks])
         order = np.argsort(-sizes, kind="stable")
         sizes = sizes[order]
-        columns = np.zeros((sizes[0], len(blocks)), np.uint8)
+        columns = np.zeros((sizes[0], len(blocks)), np.int32)
         for lane, k in enumerate(order):
             columns[: len(blocks[k]), lane] = blocks[k]
         active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-        width = self.table.shape[1]
-        flat = self.table.ravel()
-        for language, root in enumerate(self.roots):
-            state = np.full(len(blocks), root, np.int32)
+        for number, language in enumerate(self.known):
+            table, width, first = self._table(number), language.columns(), language.first()
+            flat = table.ravel()
+            own = self.own_symbols(number)[columns]
+            rare = (own >= width).any(axis=1) if len(first) > width else np.zeros(len(own), bool)
+            state = np.zeros(len(blocks), np.int32)
             ended = np.zeros(len(blocks), np.int32)
             for step in range(sizes[0]):
                 n = active[step]
-                following = flat[state[:n] * width + columns[step, :n]]
+                symbol = own[step, :n]
+                if rare[step]:
+                    beyond = np.flatnonzero(symbol >= width)
+                    following = flat[state[:n] * width + np.minimum(symbol, width - 1)]
+                    following[beyond] = language.rare(state[beyond], symbol[beyond], first)
+                else:
+                    following = flat[state[:n] * width + symbol]
                 over = following < 0
                 ended[:n] += over
                 state[:n] = np.where(over, -1 - following, following)
             # the phrase that the block ends in
-            np.add.at(total[:, language], np.array(owners)[order], ended + 1)
-
-
-def build(texts: dict[str, list[str]], characters: int = MODEL_CHARACTERS) -> Model:
-    """The model of some text per language, cut to an equal share of ``characters`` each; ties go to the first."""
-    languages = list(texts)
-    seen = Counter(c for rows in texts.values() for row in rows for c in row.lower() if c.isalpha())
-    letters = "".join(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 1])
-    model = Model(languages, letters, np.zeros((0, ALPHABET + 1), np.int32), np.zeros(0, np.int64))
-    share = characters // max(1, len(languages))
-    tables, roots, states = [], [], 0
-    for language in languages:
-        text = np.concatenate([model.encode(row + " ") for row in texts[language]])[:share]
-        table = SuffixAutomaton(text.tolist()).table(ALPHABET + 1)
-        tables.append(np.where(table >= 0, table + states, table - states))
-        roots.append(states)
-        states += len(table)
-    if tables:
-        model.table, model.roots = np.concatenate(tables).astype(np.int32), np.array(roots)
-    return model
+            np.add.at(total[:, number], np.array(owners)[order], ended + 1)
+
+
+def build(texts: dict[str, list[str]], characters: int = LANGUAGE_CHARACTERS) -> Model:
+    """The model of some text per language, cut to ``characters`` each; ties go to the first."""
+    return Model([learn(name, rows, characters) for name, rows in texts.items()])
 
 
 def train(docs: DataFrame) -> Model:
     """The model of labelled documents (doc_id, text, lang); rows without text or lang teach nothing."""
+    ship_package(docs.sparkSession)
     rows = take_columns(docs, doc_id="doc_id", text="text", lang="lang").where("text is not null and lang is not null")
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    names = [row.lang for row in counted]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     chosen = (
         rows.select("doc_id", "lang", F.substring("text", 1, ROW_CHARACTERS).alias("text"))
         .withColumn("k", F.row_number().over(order))
-        .where((F.col("k") <= ROWS_PER_LANGUAGE) & F.col("lang").isin(names))
+        .where(F.col("k") <= ROWS_PER_LANGUAGE)
     )
-    texts: dict[str, list[str]] = {name: [] for name in names}
-    # at most LANGUAGES * ROWS_PER_LANGUAGE rows of ROW_CHARACTERS characters
-    for row in chosen.orderBy("lang", "k").collect():
-        texts[row.lang].append(row.text)
-    return build(texts)
+    characters = LANGUAGE_CHARACTERS
+
+    def one(table: pa.Table) -> pa.Table:
+        texts = [text for _, text in sorted(zip(table["k"].to_pylist(), table["text"].to_pylist()))]
+        found = learn(table["lang"][0].as_py(), texts, characters)
+        return pa.table({
+            "lang": [found.name], "letters": [found.letters], "states": pa.array([found.states], pa.int64()),
+            "keys": [found.keys.tobytes()], "targets": [found.targets.tobytes()],
+        })
+
+    schema = "lang string, letters string, states long, keys binary, targets binary"
+    # one row of at most three moves a character for each language
+    learnt = {row.lang: row for row in chosen.groupBy("lang").applyInArrow(one, schema).collect()}
+    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    found = [learnt[row.lang] for row in counted]
+    return Model([
+        Language(r.lang, r.letters, np.frombuffer(r.keys, np.int64), np.frombuffer(r.targets, np.int32), r.states)
+        for r in found
+    ])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

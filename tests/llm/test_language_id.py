@@ -65,3 +65,37 @@ def test_long_texts_take_many_blocks():
     model = language_id.build({"x": ["ab" * 50], "y": ["cd" * 50]})
     counts = model.phrases([model.encode("ab" * 200_000)])[0]
     assert counts.argmin() == model.languages.index("x") and np.all(counts > 0)
+
+
+def test_languages_of_other_scripts_keep_their_letters():
+    rng = random.Random(5)
+    scripts = {"la": (97, 26), "el": (0x3B1, 17), "ru": (0x430, 32), "uk": (0x450, 16), "th": (0xE01, 40), "ka": (0x10D0, 33),
+               "zh": (0x4E00, 900), "ja": (0x6000, 900)}
+    make = lambda at, n, size: "".join(" " if rng.random() < 0.1 else chr(at + min(int(rng.expovariate(4 / n)), n - 1)) for _ in range(size))
+    # latin text is the most, so its letters are the most frequent
+    texts = {name: [make(*span, 6000 if name == "la" else 2500)] for name, span in scripts.items()}
+    model = language_id.build(texts)
+    docs = {name: make(*span, 700) for name, span in scripts.items()}
+    encoded = [model.encode(doc) for doc in docs.values()]
+    got = model.phrases(encoded)
+    assert [model.languages[k] for k in got.argmin(axis=1)] == list(docs)
+    for k, name in enumerate(model.languages):
+        own = model.own_symbols(k)
+        sample = "".join(map(chr, own[model.encode(texts[name][0] + " ")]))
+        for symbols, counts in zip(encoded, got):
+            assert counts[k] == plain_phrases("".join(map(chr, own[symbols])), sample)
+
+
+def test_every_label_is_learnt_and_tables_may_be_made_anew(spark, monkeypatch):
+    rng = random.Random(3)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(8)] for k in range(70)}
+    text = lambda name: " ".join(rng.choice(words[name]) for _ in range(40))
+    rows = [(n, text(name), name) for n, name in enumerate(sorted(words) * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs.where("doc_id < 70"))
+    assert len(model.languages) == 70
+    encoded = [model.encode(row[1]) for row in rows]
+    counts = model.phrases(encoded)
+    assert [model.languages[k] for k in counts.argmin(axis=1)] == [row[2] for row in rows]
+    monkeypatch.setattr(language_id, "TABLE_BYTES", 0)
+    assert (language_id.Model(model.known).phrases(encoded) == counts).all()
