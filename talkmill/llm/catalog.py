@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bitplane, byte_bpe, chat_format, decontaminate, jaccard_join, language_id, pii, quality_gam, quality_rules, suffix_dedup
+from talkmill.llm import (
+    bitplane, byte_bpe, chat_format, decontaminate, filter_audit, jaccard_join, language_id, minhash_dedup, pii, prefix_trie,
+    quality_gam, quality_rules, suffix_dedup,
+)
 from talkmill.session import scratch_path
 from talkmill.sources.tables import table
 
@@ -114,6 +117,21 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, folder, "documents"))
 
 
+def op11_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's number of shingles, the smallest document it is linked with, and whether it stays."""
+    return minhash_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from every language, in every order, at every step."""
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.BurstTrie(prefix_trie.rebuilt(table(spark, folder, "conversations"))).nodes()
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -125,6 +143,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_minhash_dedup": op11_minhash_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 # The same results in SQL, written from the contracts.
@@ -240,9 +261,138 @@ SELECT doc_id, min(i) - 1 AS start_word, max(i) - min(i) + 50 AS n_words
 FROM s JOIN d USING (rid) GROUP BY rid, doc_id, k
 """
 
+_OP11 = r"""
+WITH RECURSIVE t AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+s AS (
+    SELECT DISTINCT rid, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS shingle
+    FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM t WHERE len(w) > 0)
+),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+links AS (
+    SELECT a, b
+    FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.rid <> y.rid
+          GROUP BY 1, 2) p
+    JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b
+    WHERE 100 * c >= 85 * (na.n + nb.n - c)
+),
+reach(a, b) AS (
+    SELECT rid, rid FROM t
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+),
+least_id AS (SELECT a, min(doc_id) AS id FROM reach JOIN t ON t.rid = reach.b GROUP BY a)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least_id.id AS component_id,
+       t.doc_id = least_id.id AS kept
+FROM t LEFT JOIN n USING (rid) JOIN least_id ON least_id.a = t.rid
+"""
+
+_OP12 = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+f AS (
+    SELECT doc_id, part,
+           [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+            100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'),
+            coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+    FROM d
+),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+    SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+    FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL
+),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+steps AS (
+    SELECT filter_order, step::INT AS step,
+           [position(x IN filter_order) < step FOR x IN ['A', 'B', 'C', 'D', 'E']] AS before,
+           ascii(filter_order[step]) - 64 AS filter
+    FROM orders, unnest(range(1, 6)) AS s(step)
+),
+counted AS (
+    SELECT part, filter_order, step, filter,
+           sum(n) FILTER (NOT earlier AND NOT fails[filter]) AS kept,
+           sum(n) FILTER (NOT earlier AND fails[filter]) AS removed,
+           sum(n) FILTER (earlier AND fails[filter]) AS redundant,
+           sum(n) FILTER (fails[filter] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails,
+           sum(n) FILTER (NOT earlier AND fails[filter] AND good) AS good_lost,
+           sum(n) FILTER (NOT earlier AND fails[filter] AND toxic) AS toxic_lost
+    FROM (
+        SELECT *, len(list_filter(range(1, 6), lambda i: before[i] AND fails[i])) > 0 AS earlier
+        FROM c, steps
+    )
+    GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley
+FROM counted
+"""
+
+_OP13 = r"""
+WITH t AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(id)) AS k, id, bytes
+    FROM (SELECT conv_id, turn, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS id,
+                 strlen(coalesce(text, '')) AS bytes
+          FROM conversations WHERE conv_id IS NOT NULL)
+),
+own AS (SELECT conv_id, list(sha256(id) ORDER BY k) AS ids, list(bytes ORDER BY k) AS sizes FROM t GROUP BY conv_id),
+h AS (
+    -- the crc32 of the decimal id, bit by bit
+    SELECT own.*, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+           list_concat([4294967295::BIGINT], [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                                         lambda c, unused: xor(c >> 1, 3988292384 * (c & 1))))) % 9 AS h
+    FROM own
+),
+c AS (
+    SELECT h.conv_id, list_concat(coalesce(b.ids, [])[1:h.h], h.ids[h.h + 1:]) AS ids,
+           list_concat(coalesce(b.sizes, [])[1:h.h], h.sizes[h.h + 1:]) AS sizes
+    FROM h LEFT JOIN own b ON b.conv_id = h.base
+),
+x AS (
+    SELECT conv_id, d AS depth, sha256(array_to_string(ids[1:d], ',')) AS node,
+           CASE WHEN d > 0 THEN sha256(array_to_string(ids[1:d - 1], ',')) END AS above,
+           CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS bytes, d = len(ids) AS ends
+    FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM c)
+),
+n AS (
+    SELECT node, depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM x GROUP BY node, depth
+),
+kids AS (SELECT above AS node, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+full_n AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (node, depth)),
+sums AS (
+    SELECT x.node, x.depth, count(*) FILTER (n_children = 0) AS n_leaves,
+           sum((n_convs - 1) * f.bytes) AS saved_tokens
+    FROM full_n f JOIN x ON x.conv_id = f.conv_id AND x.depth <= f.depth
+    GROUP BY x.node, x.depth
+)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_n f JOIN sums s USING (node, depth) LEFT JOIN n p ON p.node = f.above AND p.depth = f.depth - 1
+"""
+
 ORACLES = {
     "op1_quality_rules": _OP1,
     "op2_chat_format": _OP2,
     "op8_suffix_dedup": _OP8,
     "op10_jaccard_join": _OP10,
+    "op11_minhash_dedup": _OP11,
+    "op12_filter_audit": _OP12,
+    "op13_prefix_trie": _OP13,
 }

@@ -9,7 +9,7 @@ from talkmill.llm.catalog import ORACLES, QUERIES
 
 def test_all_are_registered():
     names = [name for name in queries() if name.startswith("op") and name[2].isdigit()]
-    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 14))
     assert "pipeline" in queries() and set(ORACLES) <= set(oracle_sql())
 
 
