@@ -112,8 +112,8 @@ TFIDF = f"""
 """
 
 
-def keyword_ctes(source: str = "(SELECT item_id AS query_id, text AS query FROM benchmark)") -> str:
-    """CTEs ending in ``keyword_scores`` and ``keyword`` (query_id, doc_id, score, rank), k = 8."""
+def keyword_ctes(source: str = "(SELECT item_id AS query_id, text AS query FROM benchmark)", k: int = 8) -> str:
+    """CTEs ending in ``keyword_scores`` and ``keyword`` (query_id, doc_id, score, rank)."""
     return f"""{TFIDF},
     qtf AS ({_terms("query_id", "query", f"(SELECT * FROM {source} WHERE query <> '')")}),
     qraw AS (SELECT query_id, term, tf * idf AS w FROM qtf JOIN idf USING (term)),
@@ -125,7 +125,7 @@ def keyword_ctes(source: str = "(SELECT item_id AS query_id, text AS query FROM
     keyword AS (
         SELECT * FROM (
             SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC))::INTEGER AS rank FROM keyword_scores)
-        WHERE rank <= 8),
+        WHERE rank <= {k}),
     filled AS (
         SELECT * FROM (
             SELECT query_id, doc_id, coalesce(score, 0.0) AS score,
@@ -155,6 +155,18 @@ def semantic_cte(k: int, same_user: bool = False) -> str:
     """
 
 
+def fused_ctes(k: int) -> str:
+    """CTEs ending in ``fused`` (query_id, doc_id, keyword_rank, semantic_rank, score, rank) of two lists of k."""
+    return f"""{keyword_ctes(k=k)}, {semantic_cte(k)},
+    shares AS (
+        SELECT query_id, doc_id, k.rank AS keyword_rank, s.rank AS semantic_rank,
+               round(coalesce(1.0::DOUBLE / (60 + k.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0), 6) AS score
+        FROM keyword k FULL JOIN (SELECT query_id, id AS doc_id, rank FROM semantic) s USING (query_id, doc_id)),
+    fused AS (
+        SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC))::INTEGER AS rank FROM shares)
+    """
+
+
 SEMANTIC_COLUMNS = "query_id, rank, id, distance, round(1.0::DOUBLE - distance, 6) AS similarity"
 
 MEMORY = """
@@ -448,6 +460,12 @@ def _statements() -> dict[str, str]:
         FROM events, (SELECT unnest(range(24)) AS h) GROUP BY 1
     """
     sql["active_sliding"] = sliding
+    sql["active_sliding_all"] = """
+        SELECT width, date_trunc('hour', ts) - to_hours(h) AS window_start, count(DISTINCT user_id) AS active_users
+        FROM events, (SELECT width, unnest(range(n)) AS h
+                      FROM (VALUES ('24 hours', 24), ('7 days', 168), ('30 days', 720)) w(width, n))
+        GROUP BY ALL
+    """
 
     # Inbound messages
     sql["route_messages"] = with_views("SELECT event_id, sender, type, has_media, route FROM routed", "routed")
@@ -581,14 +599,58 @@ def _statements() -> dict[str, str]:
     """
     sql["vector_ivf_all_lists"] = sql["vector_topk"]
     sql["hybrid_rrf"] = f"""
-        WITH {keyword_ctes()}, {semantic_cte(8)},
-        fused AS (
-            SELECT query_id, doc_id, k.rank AS keyword_rank, s.rank AS semantic_rank,
-                   round(coalesce(1.0::DOUBLE / (60 + k.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0), 6) AS score
-            FROM keyword k FULL JOIN (SELECT query_id, id AS doc_id, rank FROM semantic) s USING (query_id, doc_id))
-        SELECT query_id, rank, doc_id, keyword_rank, semantic_rank, score FROM (
-            SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC))::INTEGER AS rank FROM fused)
-        WHERE rank <= 8
+        WITH {fused_ctes(8)}
+        SELECT query_id, rank, doc_id, keyword_rank, semantic_rank, score FROM fused WHERE rank <= 8
+    """
+    kept = lambda text: rf"""list_filter(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}'),
+                              lambda t: t NOT IN {_in(ENGLISH_STOP_WORDS)})"""
+    sql["hybrid_rerank"] = f"""
+        WITH RECURSIVE {fused_ctes(24)},
+        terms AS (SELECT item_id AS query_id, list_distinct({kept("text")}) AS terms FROM benchmark),
+        candidates AS (
+            SELECT f.query_id, f.doc_id, f.score / max(f.score) OVER (PARTITION BY f.query_id) AS fused, terms,
+                   {kept("coalesce(text, '')")} AS words
+            FROM fused f JOIN terms USING (query_id) JOIN documents USING (doc_id) WHERE rank <= 24),
+        places AS (
+            SELECT query_id, doc_id, p, words[p] AS word
+            FROM (SELECT *, unnest(range(1, len(words) + 1)) AS p FROM candidates) WHERE list_contains(terms, words[p])),
+        covered AS (SELECT query_id, doc_id, count(DISTINCT word) AS covered FROM places GROUP BY query_id, doc_id),
+        -- the last place of every term up to each place
+        lasts AS (
+            SELECT b.query_id, b.doc_id, b.p, a.word, max(a.p) AS last
+            FROM places a JOIN places b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.p <= b.p
+            GROUP BY ALL),
+        spans AS (
+            SELECT query_id, doc_id, min(span) AS span
+            FROM (SELECT query_id, doc_id, p, p - min(last) + 1 AS span, count(*) AS n FROM lasts GROUP BY query_id, doc_id, p)
+            JOIN covered USING (query_id, doc_id) WHERE n = covered GROUP BY query_id, doc_id),
+        judged AS (
+            SELECT c.query_id, c.doc_id, coalesce(covered, 0)::INTEGER AS covered, coalesce(span, 0)::INTEGER AS span,
+                   list_distinct(words) AS words,
+                   round(0.6::DOUBLE * fused + (1 - 0.6::DOUBLE) * coalesce(covered::DOUBLE / len(terms) * (covered::DOUBLE / span), 0), 6)
+                       AS relevance
+            FROM candidates c LEFT JOIN covered USING (query_id, doc_id) LEFT JOIN spans USING (query_id, doc_id)),
+        alike AS (
+            SELECT query_id, a.doc_id AS a, list(struct_pack(b := b.doc_id, s := CASE WHEN len(a.words) + len(b.words) = 0 THEN 0
+                       ELSE len(list_intersect(a.words, b.words))::DOUBLE
+                            / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) END)) AS others
+            FROM judged a JOIN judged b USING (query_id) GROUP BY query_id, a.doc_id),
+        pool AS (
+            SELECT query_id, list(struct_pack(doc := doc_id, r := relevance, others := others)) AS rows
+            FROM judged JOIN alike USING (query_id) WHERE a = doc_id GROUP BY query_id),
+        chosen AS (
+            SELECT query_id, rows, []::STRUCT(score DOUBLE, doc BIGINT)[] AS picks FROM pool
+            UNION ALL
+            SELECT query_id, rows, list_append(picks, list_max([
+                       struct_pack(score := round(0.7::DOUBLE * x.r - (1 - 0.7::DOUBLE) * coalesce(list_max(
+                           [o.s FOR o IN x.others IF list_contains([p.doc FOR p IN picks], o.b)]), 0), 6), doc := x.doc)
+                       FOR x IN rows IF NOT list_contains([p.doc FOR p IN picks], x.doc)]))
+            FROM chosen WHERE len(picks) < least(8, len(rows))),
+        ranked AS (
+            SELECT query_id, unnest(picks) AS pick, unnest(range(1, len(picks) + 1))::INTEGER AS rank
+            FROM chosen WHERE len(picks) = least(8, len(rows)))
+        SELECT query_id, pick.doc AS doc_id, rank, pick.score AS score, relevance, covered, span
+        FROM ranked JOIN judged USING (query_id) WHERE judged.doc_id = pick.doc
     """
     sql["precision_at_k"] = f"""
         WITH {semantic_cte(5)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import normalised, tokens
@@ -126,6 +126,50 @@ def active_sliding(
     )
 
 
+def active_sliding_widths(
+    messages: DataFrame, user: str, ts: str, widths: dict[str, int], slide_seconds: int = 3600
+) -> DataFrame:
+    """(width, window_start, active_users): distinct users per sliding window, for several widths at once.
+
+    ``widths`` names each width and gives it as a number of slides. A window of w
+    slides that begins at slot b sees a user who has a message in one of the slots
+    b to b + w - 1, so a slot h covers the beginnings h - w + 1 to h. What the
+    user's slot before already covers is taken off, and each slot adds one event
+    where its own stretch begins and takes it off behind its end. A running
+    sum over the events of a width is the number of users. The cost is that of
+    a user's distinct slots, whatever the width; events are summed per slot
+    before they are shuffled, and the running sum sees one row per slot of time.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    start = F.window(ts, f"{slide_seconds} seconds").start.cast("timestamp_ntz")
+    slot = F.floor(F.timestamp_diff("SECOND", epoch, start) / slide_seconds).cast("long")
+    slots = messages.where(F.col(ts).isNotNull()).select(F.col(user).alias("u"), slot.alias("slot")).distinct()
+    before = F.lag("slot").over(Window.partitionBy("u").orderBy("slot"))
+    named = F.array(*[F.struct(F.lit(name).alias("width"), F.lit(n).alias("n")) for name, n in widths.items()])
+    events = (
+        slots.where(F.col("u").isNotNull())
+        .withColumn("before", before)
+        .select("slot", "before", F.inline(named))
+        .withColumn("from", F.greatest(F.col("slot") - F.col("n") + 1, F.col("before") + 1))
+        .select(
+            "width",
+            F.inline(
+                F.array(
+                    F.struct(F.col("from").alias("slot"), F.lit(1).alias("step")),
+                    F.struct((F.col("slot") + 1).alias("slot"), F.lit(-1).alias("step")),
+                )
+            ),
+        )
+    )
+    steps = events.groupBy("width", "slot").agg(F.sum("step").alias("step"))
+    in_time = Window.partitionBy("width").orderBy("slot")
+    counts = steps.withColumns({"active_users": F.sum("step").over(in_time), "next": F.lead("slot").over(in_time)})
+    # between two events nothing changes
+    each = counts.where("active_users > 0").withColumn("slot", F.explode(F.sequence("slot", F.col("next") - 1)))
+    begins = F.timestamp_add("SECOND", F.col("slot") * slide_seconds, epoch)
+    return each.select("width", begins.alias("window_start"), "active_users")
+
+
 # One file is one task: an export of more rows is a table, not a summary.
 MAX_EXPORT_ROWS = 1_000_000
 

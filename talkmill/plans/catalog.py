@@ -12,7 +12,7 @@ from talkmill.functions import codes, errors, jsonlog, text
 from talkmill.functions.language import detect_language, detect_language_simple, detection_method
 from talkmill.functions.transcript import parse_transcript
 from talkmill.operators import (
-    history, messages as inbound_ops, metrics, quality, retrieval, stats, tfidf, translation, upserts, vectors,
+    history, messages as inbound_ops, metrics, quality, rerank, retrieval, stats, tfidf, translation, upserts, vectors,
 )
 from talkmill.plans.question_flow import answer_prompts
 from talkmill.schemas import MAX_LENGTHS
@@ -340,6 +340,13 @@ def active_sliding(spark, folder):
     return metrics.active_sliding(views.messages(spark, folder), "user_id", "created_at")
 
 
+@query
+def active_sliding_all(spark, folder):
+    """Active users per hour for the three widths of the statistics view, in one pass."""
+    widths = {"24 hours": 24, "7 days": 7 * 24, "30 days": 30 * 24}
+    return metrics.active_sliding_widths(views.messages(spark, folder), "user_id", "created_at", widths)
+
+
 # Inbound messages
 
 def _routed(spark, folder):
@@ -507,9 +514,9 @@ def tfidf_weights(spark, folder):
     return keyword_model(spark, folder).weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-def _keyword(spark, folder, filled=False):
+def _keyword(spark, folder, filled=False, k=K_CHUNKS):
     model, asked, kb = keyword_model(spark, folder), views.questions(spark, folder), views.kb(spark, folder)
-    return tfidf.search_filled(model, asked, kb, K_CHUNKS) if filled else tfidf.search(model, asked, K_CHUNKS)
+    return tfidf.search_filled(model, asked, kb, k) if filled else tfidf.search(model, asked, k)
 
 
 def _with_chunks(spark, folder, results):
@@ -587,14 +594,26 @@ def vector_ivf_all_lists(spark, folder):
     return _with_similarity(lists.search(views.question_vectors(spark, folder), K_VECTORS, probes=8))
 
 
+def _fused(spark, folder, k):
+    semantic = _semantic(spark, folder, k=k).withColumnRenamed("id", "doc_id")
+    return retrieval.reciprocal_rank_fusion(_keyword(spark, folder, k=k), semantic, k)
+
+
 @query
 def hybrid_rrf(spark, folder):
-    semantic = _semantic(spark, folder, k=K_CHUNKS).withColumnRenamed("id", "doc_id")
-    return retrieval.reciprocal_rank_fusion(_keyword(spark, folder), semantic, K_CHUNKS).select(
+    return _fused(spark, folder, K_CHUNKS).select(
         "query_id", "rank", "doc_id", "keyword_rank", "semantic_rank", "score"
     )
 
 
+@query
+def hybrid_rerank(spark, folder):
+    """The chunks of every question, chosen from three times as many fused candidates."""
+    return rerank.rerank(
+        _fused(spark, folder, 3 * K_CHUNKS), views.questions(spark, folder), views.kb(spark, folder), K_CHUNKS, 3 * K_CHUNKS
+    )
+
+
 @query
 def precision_at_k(spark, folder):
     labels = views.vectors(spark, folder).select("id", F.col("user_id").alias("label"))
