@@ -336,6 +336,30 @@ def _statements() -> dict[str, str]:
         ),
         "convs",
     )
+    recent = """SELECT c.id AS conversation_id, c.user_id, c.started_at, c.message_count, m.content AS last_message,
+                       m.created_at AS last_message_at
+                FROM (SELECT *, row_number() OVER (
+                          PARTITION BY user_id ORDER BY started_at DESC NULLS FIRST, id DESC) AS place FROM convs) c
+                LEFT JOIN LATERAL (SELECT content, created_at FROM messages WHERE conversation_id = c.id
+                                   ORDER BY created_at DESC NULLS FIRST, id DESC LIMIT 1) m ON TRUE
+                WHERE place <= 2"""
+    sql["sql_recent_conversations"] = with_views(f"SELECT * EXCLUDE (user_id) FROM ({recent}) WHERE user_id = 42", "convs")
+    sql["sql_recent_of_all"] = with_views(
+        f"SELECT u.id AS user_id, r.* EXCLUDE (user_id) FROM users u LEFT JOIN ({recent}) r ON r.user_id = u.id", "users", "convs"
+    )
+    sql["sql_similar_messages"] = with_views(
+        """SELECT scope, message_id, content, round(1.0::DOUBLE - distance, 6) AS similarity
+           FROM (
+               SELECT scope, id AS message_id, content, distance,
+                      row_number() OVER (PARTITION BY scope ORDER BY distance, id) AS place
+               FROM (SELECT id, content, user_id, round(list_cosine_distance(embedding::DOUBLE[],
+                            (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) AS distance
+                     FROM messages JOIN embeddings ON id = vec_id),
+                    (VALUES ('all'), ('one user')) s(scope)
+               WHERE scope = 'all' OR user_id = 42)
+           WHERE place <= 6""",
+        "messages",
+    )
     sql["user_nested"] = with_views(
         """SELECT u.id AS user_id,
                   (SELECT count(*) FROM convs c WHERE c.user_id = u.id) AS conversations,
@@ -400,6 +424,7 @@ def _statements() -> dict[str, str]:
             WHERE u.phone_number <> 'system'""",
         "users", "convs", "as_of",
     )
+    sql["sql_active_user_stats"] = sql["active_user_stats"]
     sql["active_user_stats_true"] = with_views(
         f"""SELECT {_active} count(DISTINCT c.id) AS total_conversations, count(DISTINCT m.id) AS total_messages,
                    count(DISTINCT CASE WHEN m.message_type = 'voice' THEN m.id END) AS voice_messages,

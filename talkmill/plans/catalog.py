@@ -14,6 +14,7 @@ from talkmill.functions.transcript import parse_transcript
 from talkmill.operators import (
     history, messages as inbound_ops, metrics, quality, rerank, retrieval, stats, tfidf, translation, upserts, vectors,
 )
+from talkmill.plans import sql_surface
 from talkmill.plans.question_flow import answer_prompts
 from talkmill.schemas import MAX_LENGTHS
 from talkmill.session import scratch_path
@@ -347,6 +348,52 @@ def active_sliding_all(spark, folder):
     return metrics.active_sliding_widths(views.messages(spark, folder), "user_id", "created_at", widths)
 
 
+# The same from SQL
+
+_SQL_PREFIX = "model_"
+
+
+def _sql(spark, folder, statement):
+    """A statement over the registered model; stored vectors belong to the messages of their numbers."""
+    stored = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    sql_surface.register(
+        spark, views.users(spark, folder), views.conversations(spark, folder),
+        views.messages(spark, folder).join(stored, "id", "left"), _as_of(spark, folder), _SQL_PREFIX,
+    )
+    return spark.sql(statement.format(p=_SQL_PREFIX))
+
+
+@query
+def sql_active_user_stats(spark, folder):
+    return _sql(spark, folder, "SELECT * FROM {p}active_user_stats")
+
+
+@query
+def sql_recent_conversations(spark, folder):
+    """One user's conversations."""
+    return _sql(spark, folder, "SELECT * FROM {p}get_user_recent_conversations(42, 2)")
+
+
+@query
+def sql_recent_of_all(spark, folder):
+    """The newest conversations of every user, users without any included."""
+    return _sql(
+        spark, folder,
+        "SELECT u.id AS user_id, r.* FROM {p}users u LEFT JOIN LATERAL {p}get_user_recent_conversations(u.id, 2) r",
+    )
+
+
+@query
+def sql_similar_messages(spark, folder):
+    """The messages nearest to the vector of message 7, over all users and over user 42's."""
+    vector = table(spark, folder, "embeddings").where("vec_id = 7").first().embedding
+    values = ", ".join(repr(float(x)) + "D" for x in vector)
+    search = "SELECT '{0}' AS scope, * FROM {{p}}search_similar_messages(array({2}), {1}, 6)"
+    return _sql(spark, folder, " UNION ALL ".join(
+        search.format(scope, user, values) for scope, user in (("all", "NULL"), ("one user", "42"))
+    ))
+
+
 # Inbound messages
 
 def _routed(spark, folder):
