@@ -823,6 +823,11 @@ def _statements() -> dict[str, str]:
             FROM {newest}""",
         "routed",
     )
+    sql["stream_expired_senders"] = with_views(
+        f"""SELECT sender, body AS last_message, ts AS last_at FROM {newest}
+            WHERE ts + INTERVAL 24 HOUR < (SELECT max(ts) FROM {answered}) - INTERVAL 10 MINUTE""",
+        "routed",
+    )
     return sql
 
 

@@ -804,8 +804,16 @@ def stream_dedup(spark, folder):
     return runner.result_of(spark, once.select("event_id", "user_id", "event_type"), "dedup")
 
 
+def _answered_stream(spark, folder):
+    return _answered(inbound_ops.route_messages(views.inbound(runner.events_stream(spark, folder))))
+
+
 @query
 def stream_latest_state(spark, folder):
-    events = runner.events_stream(spark, folder)
-    routed = inbound_ops.route_messages(views.inbound(events))
-    return jobs.latest_state(spark, _answered(routed), scratch_path(spark, "latest"))
+    return jobs.latest_state(spark, _answered_stream(spark, folder), scratch_path(spark, "latest"))
+
+
+@query
+def stream_expired_senders(spark, folder):
+    """Senders that a timer has let go at the end of the stream."""
+    return jobs.expired_senders(spark, _answered_stream(spark, folder), scratch_path(spark, "expired"))

@@ -15,6 +15,7 @@ from talkmill.functions.text import normalise_sender
 from talkmill.operators.messages import classify_command, route_messages, validate_uploads
 from talkmill.sources.views import inbound
 from talkmill.streaming.runner import WATERMARK
+from talkmill.streaming.state import ChangeTable, changes
 
 
 def ingest(events: DataFrame) -> DataFrame:
@@ -95,66 +96,48 @@ def without_repeats(events: DataFrame, key: str = "event_id", delay: str = WATER
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def latest_state(
-    spark: SparkSession, routed: DataFrame, path: str, ttl: str = "24 hours", delay: str = WATERMARK
-) -> DataFrame:
-    """The newest answered message of every sender, kept up to date by a stream.
-
-    State is held per sender and ``ttl``-wide window, so that it is let go once the
-    watermark has passed the window. Each micro-batch merges the senders that
-    changed into the snapshot of the batch before it and writes the result under
-    its own number, so a repeated batch replaces itself and reading is one
-    snapshot. A sender is ``expired`` when ``ttl`` has passed since, by the newest
-    event seen.
-    """
-    newest = F.max_by(F.struct("body", "response", "route", "ts", "event_id"), F.struct("ts", "event_id"))
-    routed = routed.where(F.col("response").isNotNull())
-    changed = (
-        routed.withWatermark("ts", delay).groupBy("sender", F.window("ts", ttl)).agg(newest.alias("s"))
-        .select("sender", "s.*")
-    )
-
-    def merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("sender").agg(newest.alias("s")).select("sender", "s.*")
-
-    rows_path = f"{path}/rows"
-
-    def newest_number(below: int) -> int | None:
-        """The number of the newest snapshot below a batch; older ones but the one before it are dropped."""
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        files = hadoop.Path(rows_path).getFileSystem(spark._jsc.hadoopConfiguration())
-        if not files.exists(hadoop.Path(rows_path)):
-            return None
-        found = sorted(int(f.getPath().getName().split("=")[1]) for f in files.listStatus(hadoop.Path(rows_path)))
-        found = [number for number in found if number < below]
-        for old in found[:-2]:
-            files.delete(hadoop.Path(f"{rows_path}/batch={old}"), True)
-        return found[-1] if found else None
-
-    def read(session: SparkSession, number: int) -> DataFrame:
-        return session.read.schema(changed.schema).parquet(f"{rows_path}/batch={number}")
-
-    def write(batch: DataFrame, number: int) -> None:
-        before = newest_number(number)
-        rows = batch if before is None else batch.unionByName(read(batch.sparkSession, before))
-        merged(rows).write.mode("overwrite").parquet(f"{rows_path}/batch={number}")
-
+def follow_state(
+    spark: SparkSession, routed: DataFrame, path: str, ttl_seconds: int = 24 * 3600, delay: str = WATERMARK
+) -> ChangeTable:
+    """Run the stateful stream of :mod:`talkmill.streaming.state` over what is available, into a table of changes."""
+    kept = ChangeTable(spark, path)
     query = (
-        changed.writeStream.outputMode("update")
-        .foreachBatch(write)
+        changes(routed, ttl_seconds, delay)
+        .writeStream.outputMode("update")
+        .foreachBatch(kept.add)
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    last = newest_number(1 << 62)
-    state = spark.createDataFrame([], changed.schema) if last is None else read(spark, last)
-    now = state.agg(F.max("ts")).scalar()
+    return kept
+
+
+def latest_state(
+    spark: SparkSession, routed: DataFrame, path: str, ttl_seconds: int = 24 * 3600, delay: str = WATERMARK
+) -> DataFrame:
+    """The newest answered message of every sender, kept up to date by a stream.
+
+    A sender is ``expired`` when the time to live has passed since, by the newest event seen.
+    """
+    state = follow_state(spark, routed, path, ttl_seconds, delay).read()
+    now = state.agg(F.max("us")).scalar()
     return state.select(
         "sender",
         F.col("body").alias("last_message"),
         F.col("response").alias("last_response"),
         F.col("route").alias("message_type"),
-        F.col("ts").cast("timestamp_ntz").alias("last_at"),
-        (F.col("ts") + F.expr(f"INTERVAL {ttl}") < now).alias("expired"),
+        F.timestamp_micros("us").cast("timestamp_ntz").alias("last_at"),
+        (F.col("us") + ttl_seconds * 1_000_000 < now).alias("expired"),
+    )
+
+
+def expired_senders(
+    spark: SparkSession, routed: DataFrame, path: str, ttl_seconds: int = 24 * 3600, delay: str = WATERMARK
+) -> DataFrame:
+    """(sender, last_message, last_at): the senders whose timer has run out, that is, whose time to live ended before
+    the watermark, and who were not heard of since."""
+    gone = follow_state(spark, routed, path, ttl_seconds, delay).read().where("expired")
+    return gone.select(
+        "sender", F.col("body").alias("last_message"), F.timestamp_micros("us").cast("timestamp_ntz").alias("last_at")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talkmill.operators.messages import route_messages
 from talkmill.session import scratch_path
 from talkmill.sources.views import inbound
-from talkmill.streaming import jobs, runner
+from talkmill.streaming import jobs, runner, state
 
 T0 = dt.datetime(2024, 5, 1, 12)
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -84,3 +84,48 @@ def test_latest_state_and_expiry(spark):
     assert found["000000001@c.us"] == T0 + dt.timedelta(minutes=60 * 40 + 3) and len(found) == 2
     # one snapshot is read, and no more than the one before it and a repeat are kept
     assert len([name for name in os.listdir(out.removeprefix("file://") + "/rows") if "batch=" in name]) <= 3
+
+
+def test_expiry_is_emitted_by_a_timer_and_forgotten_by_a_newer_message(spark):
+    path, out = scratch_path(spark, "test-timer"), scratch_path(spark, "test-timer-out")
+    answered = lambda: route_messages(inbound(stream(spark, path))).withColumn("response", F.lit("ok"))
+    day = 24 * 60
+    write(spark, path, (1, 0, 1), (2, 5, 2), (4, 6, 1))
+    gone = lambda: {(r.sender, r.last_at) for r in jobs.expired_senders(spark, answered(), out).collect()}
+    assert gone() == set()
+    write(spark, path, (8, day + 5, 3))  # the watermark stands ten minutes before that
+    assert gone() == set()
+    write(spark, path, (9, day + 20, 3))
+    assert gone() == {("000000001@c.us", T0 + dt.timedelta(minutes=6)), ("000000002@c.us", T0 + dt.timedelta(minutes=5))}
+    write(spark, path, (10, day + 30, 2))
+    assert {sender for sender, _ in gone()} == {"000000001@c.us"}
+    found = {r.sender: (r.last_at, r.expired) for r in jobs.latest_state(spark, answered(), out).collect()}
+    assert found["000000002@c.us"] == (T0 + dt.timedelta(minutes=day + 30), False) and len(found) == 3
+
+
+def test_bytes_written_follow_the_changed_senders(spark):
+    path, out = scratch_path(spark, "test-bytes"), scratch_path(spark, "test-bytes-out")
+    answered = lambda: route_messages(inbound(stream(spark, path))).withColumn("response", F.lit("ok"))
+    write(spark, path, *[(16 * u + 1, u % 50, u) for u in range(1, 6000)])
+    table = jobs.follow_state(spark, answered(), out)
+    before = set(table._numbers("rows"))
+    assert before and table._bytes("rows", [max(before)]) > 50_000
+    write(spark, path, (10**6, 55, 77), (10**6 + 1, 56, 77))
+    table = jobs.follow_state(spark, answered(), out)
+    # one sender changed: its change is written, the snapshot is not
+    assert set(table._numbers("rows")) == before
+    later = [n for n in table._numbers("changes") if n > max(before)]
+    assert table._read("changes", later).count() == 1 and table._bytes("changes", later) < 12_000 * len(later)
+    found = {r.sender: r.event_id for r in table.read().collect()}
+    assert found["000000077@c.us"] == 10**6 + 1 and len(found) == table.read().count() > 3000
+    # a batch written again replaces itself
+    again = [tuple(r) for r in table._read("changes", later).collect()]
+    table.add(spark.createDataFrame(again, state.CHANGE), later[-1])
+    assert table.read().count() == len(found)
+
+
+def test_busy_sender_is_cut_before_the_shuffle(spark):
+    rows = [("a", "x", "r", "text", 5, 1), ("a", "y", "r", "text", 5, 2), ("b", "z", "r", "text", 1, 3), ("a", "w", "r", "text", 4, 9)]
+    frame = spark.createDataFrame(rows, "sender string, body string, response string, route string, us long, event_id long").coalesce(1)
+    newest = frame.mapInArrow(state._newest_of_batch, frame.schema)
+    assert sorted((r.sender, r.body) for r in newest.collect()) == [("a", "y"), ("b", "z")]
