@@ -622,6 +622,7 @@ def _statements() -> dict[str, str]:
     sql["vector_ivf_recall"] = f"""
         WITH {semantic_cte(5)} SELECT query_id, count(*) AS rows, TRUE AS good FROM semantic GROUP BY query_id
     """
+    sql["vector_ivf"] = sql["vector_topk"]
     sql["vector_ivf_all_lists"] = sql["vector_topk"]
     sql["hybrid_rrf"] = f"""
         WITH {fused_ctes(8)}

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from talkmill.functions.text import tokens
 from talkmill.operators.joins import ROW_BYTES, broadcast_if, measured_bytes
 from talkmill.session import ship_package
+from talkmill.sources.tables import spread
 
 # Of a candidate's relevance, the share of its fused score; the rest is closeness.
 FUSED_SHARE = 0.6
@@ -88,8 +89,8 @@ def _reranked(k: int, fused_share: float, balance: float):
         score = rows.column("score").to_pylist()
         best = max(score)
         spans, sets, relevance = [], [], []
-        for at, (words, terms) in enumerate(zip(rows.column("words"), rows.column("terms"))):
-            words, terms = (np.array(side.as_py(), np.int64) for side in (words, terms))
+        for at, sides in enumerate(zip(rows.column("words"), rows.column("terms"))):
+            words, terms = (side.values.to_numpy() for side in sides)
             covered, span = smallest_span(words, terms)
             closeness = covered / len(terms) * (covered / span) if covered else 0.0
             spans.append((covered, span))
@@ -130,7 +131,8 @@ def rerank(
     # a term takes fewer bytes as a number than twice its text
     size = pool * (2 * measured_bytes(questions, "query") + ROW_BYTES)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("_text"))
-    met = texts.join(broadcast_if(wanted, size), "doc_id")
+    # few splits would leave the texts to few tasks
+    met = spread(texts.join(broadcast_if(wanted, size), "doc_id"), "query_id")
     rows = met.select(
         F.col("query_id").cast("long").alias("query_id"), "doc_id", F.col("score").cast("double").alias("score"), "terms",
         numbers(tokens(F.col("_text"))).alias("words"),

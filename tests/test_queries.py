@@ -5,7 +5,7 @@ from compare import database, difference
 from oracles.sql import ORACLES as CHECKS
 from talkmill.plans.catalog import QUERIES
 
-NO_SQL = {"vector_ivf"}
+NO_SQL = set()
 
 
 @pytest.fixture(scope="module")

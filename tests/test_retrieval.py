@@ -279,3 +279,48 @@ def test_recall_query_runs_the_search_of_the_index_query(spark, data, monkeypatc
     catalog.QUERIES["vector_ivf"](spark, data)
     catalog.QUERIES["vector_ivf_recall"](spark, data)
     assert calls[0] == calls[1]
+
+
+def clustered(n=6000, clusters=60, width=24):
+    import numpy as np
+
+    numbers = np.random.default_rng(11)
+    centres = numbers.normal(size=(clusters, width)) * 4
+    return (centres[np.arange(n) % clusters] + numbers.normal(size=(n, width)) * 0.5).astype("float32")
+
+
+def test_bounds_find_the_exact_neighbours_and_read_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "RING_ROWS", 32)
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(clustered())]
+    rows += [(10_000, [0.0] * 24, 0), (10_001, None, 0), (10_002, rows[7][1], 1)]
+    stored = spark.createDataFrame(rows, "id long, embedding array<float>, user_id long")
+    wanted = stored.where("id % 100 = 7 or id >= 10000").withColumnRenamed("id", "query_id")
+    index = vectors.InvertedLists(stored)
+    again = vectors.InvertedLists.load(spark, index.folder)
+    assert again.lists == index.lists and again.rows == index.rows == 6002
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, str(r.distance)) for r in df.collect())
+    assert key(again.search(wanted, 5)) == key(vectors.vector_topk(stored, wanted, 5))
+    directed = wanted.where("query_id < 10000")
+    read = again.rows_read(directed, 5).collect()
+    assert len(read) == 60 and all(r.rows == 6002 for r in read)
+    assert max(r.rows_compared for r in read) < 6002 / 2 and sum(r.rows_compared for r in read) < 60 * 6002 / 10
+    # the pairs left are few, so no scan of everything
+    _, pairs = again.plan(directed, 5)
+    assert pairs.count() <= vectors.SCAN_SHARE * 60 * again.blocks
+    some = {(r.query_id, r.id) for r in again.search(directed, 5, slack=1.0).collect()}
+    exact = {(r.query_id, r.id) for r in vectors.vector_topk(stored, directed, 5).collect()}
+    assert len(some & exact) >= 0.9 * len(exact)
+    assert sum(r.rows_compared for r in again.rows_read(directed, 5, slack=1.0).collect()) <= sum(r.rows_compared for r in read)
+
+
+def test_index_without_clusters_few_vectors_or_none(spark):
+    import numpy as np
+
+    points = np.random.default_rng(3).normal(size=(300, 16)).astype("float32")
+    stored = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(points)], "id long, embedding array<float>, user_id long")
+    wanted = stored.where("id < 9").withColumnRenamed("id", "query_id")
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, r.distance) for r in df.collect())
+    assert key(vectors.InvertedLists(stored).search(wanted, 4)) == key(vectors.vector_topk(stored, wanted, 4))
+    few = stored.limit(3)
+    assert key(vectors.InvertedLists(few, lists=2).search(wanted, 5)) == key(vectors.vector_topk(few, wanted, 5))
+    assert vectors.InvertedLists(stored, lists=4).search(wanted.limit(0), 5).count() == 0
