@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from talkmill.functions.text import tokens
 from talkmill.operators.joins import ROW_BYTES, broadcast_if, measured_bytes
 from talkmill.session import ship_package
-from talkmill.sources.tables import spread
 
 # Of a candidate's relevance, the share of its fused score; the rest is closeness.
 FUSED_SHARE = 0.6
@@ -131,8 +130,8 @@ def rerank(
     # a term takes fewer bytes as a number than twice its text
     size = pool * (2 * measured_bytes(questions, "query") + ROW_BYTES)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("_text"))
-    # few splits would leave the texts to few tasks
-    met = spread(texts.join(broadcast_if(wanted, size), "doc_id"), "query_id")
+    # a question's rows come together before its texts are tokenised, so that all tasks share that work
+    met = texts.join(broadcast_if(wanted, size), "doc_id").repartition("query_id")
     rows = met.select(
         F.col("query_id").cast("long").alias("query_id"), "doc_id", F.col("score").cast("double").alias("score"), "terms",
         numbers(tokens(F.col("_text"))).alias("words"),
