@@ -292,3 +292,22 @@ def test_csv_export(spark):
     path = scratch_path(spark, "test-export")
     metrics.export_csv(spark.createDataFrame([("en", 2)], "language string, messages long"), path)
     assert [tuple(r) for r in spark.read.option("header", True).csv(path).collect()] == [("en", "2")]
+
+
+def test_audit_scans_every_table_once(spark, data):
+    from talkmill.plans.catalog import QUERIES
+
+    plan = QUERIES["constraint_audit"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    # sessions, preferences, analytics, users, signups, messages, conversations and the log, each one branch of the union
+    assert plan.count("Generate inline(") == 8 and plan.count("Union") == 1
+
+
+def test_audit_counts_hot_keys_and_pairs_of_columns(spark):
+    rows = spark.createDataFrame([(1, "a", 5)] * 1000 + [(1, "b", None), (None, "b", 6)], "k long, name string, parent long")
+    parents = spark.createDataFrame([(5,), (5,), (None,)], "id int")
+    found = quality.audit(
+        quality.unique(rows, "t", "k", "name"), quality.references(rows, "t", "parent", parents), quality.row_rules(rows, "t", ["k"], {"name": 1})
+    )
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("t", "foreign key(parent)", 1), ("t", "length(name) <= 1", 0), ("t", "not_null(k)", 1), ("t", "unique(k, name)", 999)
+    ]
