@@ -78,6 +78,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                event_id % 5 <> 0 AS has_media,
                CASE event_id % 3 WHEN 0 THEN 'user ' || user_id WHEN 1 THEN '' END AS push_name,
                CASE WHEN event_id % 4 = 0 THEN 'contact ' || user_id END AS contact_name,
+               ['audio/ogg; codecs=opus', 'audio/mpeg', ' audio/wav ;rate=8000', 'video/mp4', 'audio/x-m4a',
+                'AUDIO/OGG', ''][event_id % 8 + 1] AS content_type,
+               CASE event_id % 17 WHEN 9 THEN 10485760 WHEN 10 THEN 10485761
+                    ELSE floor(value * 100000)::BIGINT END AS size_bytes,
                ts
         FROM events
         """,

@@ -167,27 +167,33 @@ def inbound(events: DataFrame) -> DataFrame:
         .when(F.col("event_id") % 3 == 1, F.lit("")).alias("push_name"),
         F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("contact "), F.col("user_id").cast("string")))
         .alias("contact_name"),
+        *_upload_fields(9),
         "ts",
     ).select(
         "event_id", "sender",
         F.when(F.col("event_id") % 7 == 6, F.col("payload")).otherwise(F.col("command")).alias("body"),
-        "type", "has_media", "push_name", "contact_name", "ts",
+        "type", "has_media", "push_name", "contact_name", "content_type", "size_bytes", "ts",
     )
 
 
-def uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """Voice uploads: declared content type and size in bytes."""
+def _upload_fields(full: int) -> tuple[Column, Column]:
+    """Declared content type and size in bytes; events of number ``full`` modulo 17 are just small enough, those after
+    them just too large."""
     types = ("audio/ogg; codecs=opus", "audio/mpeg", " audio/wav ;rate=8000", "video/mp4", "audio/x-m4a", "AUDIO/OGG", "")
     size = F.floor(F.col("value") * 100000).cast("long")
-    return table(spark, folder, "events").select(
-        F.col("event_id").alias("upload_id"),
+    return (
         nth(types, F.col("event_id") % 8).alias("content_type"),
-        F.when(F.col("event_id") % 17 == 0, F.lit(10485760))
-        .when(F.col("event_id") % 17 == 1, F.lit(10485761))
+        F.when(F.col("event_id") % 17 == full, F.lit(10485760))
+        .when(F.col("event_id") % 17 == full + 1, F.lit(10485761))
         .otherwise(size).alias("size_bytes"),
     )
 
 
+def uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """Voice uploads: declared content type and size in bytes."""
+    return table(spark, folder, "events").select(F.col("event_id").alias("upload_id"), *_upload_fields(0))
+
+
 def asr_replies(documents: DataFrame) -> DataFrame:
     """Speech-to-text replies wrapped around the transliterated documents."""
     text = F.col("text")

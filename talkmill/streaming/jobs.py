@@ -22,14 +22,12 @@ def ingest(events: DataFrame) -> DataFrame:
     """Inbound events to message rows: routed, classified, language detected.
 
     Greetings and help requests are answered at once and not stored. A voice
-    message that declares ``content_type`` and ``size_bytes`` is stored only if
-    the upload is accepted.
+    message is stored only if its upload (``content_type``, ``size_bytes``) is accepted.
     """
     routed = classify_command(route_messages(inbound(events))).where(
         F.col("command").isNull() | (F.col("command") == "question")
     )
-    if {"content_type", "size_bytes"} <= set(routed.columns):
-        routed = validate_uploads(routed).where((F.col("route") != "voice") | (F.col("verdict") == "accepted"))
+    routed = validate_uploads(routed).where((F.col("route") != "voice") | (F.col("verdict") == "accepted"))
     known = detect_language(routed.withColumn("content", F.coalesce("body", F.lit(""))), "content")
     return known.select(
         F.col("event_id").alias("id"),

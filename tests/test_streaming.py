@@ -129,3 +129,13 @@ def test_busy_sender_is_cut_before_the_shuffle(spark):
     frame = spark.createDataFrame(rows, "sender string, body string, response string, route string, us long, event_id long").coalesce(1)
     newest = frame.mapInArrow(state._newest_of_batch, frame.schema)
     assert sorted((r.sender, r.body) for r in newest.collect()) == [("a", "y"), ("b", "z")]
+
+
+def test_refused_uploads_are_not_stored(spark):
+    path = scratch_path(spark, "test-uploads")
+    # 4 and 6 are audio of a known type, 11 is not; 9 is just small enough, 27 too large; 25 no voice message
+    write(spark, path, *[(i, i, 1) for i in (4, 6, 9, 11, 25, 27)])
+    stored = {r.id: r.message_type for r in runner.result_of(spark, jobs.ingest(stream(spark, path)), "uploads").collect()}
+    declared = {r.event_id: (r.content_type, r.size_bytes) for r in inbound(spark.read.schema(SCHEMA).parquet(path)).collect()}
+    assert declared[11][0] == "video/mp4" and declared[9][1] == 10485760 and declared[27][1] == 10485761
+    assert 4 in stored and 9 in stored and 11 not in stored and 27 not in stored
