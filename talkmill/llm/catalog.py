@@ -82,6 +82,12 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     counts = {
         f"n_{kind}": (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long") for kind in pii.BASE_KINDS
     }
+    all_kinds = F.transform("_spans", lambda s: s["kind"])
+    # kinds that only the method finds
+    counts |= {
+        f"n_{kind}": (F.size(all_kinds) - F.size(F.array_remove(all_kinds, kind))).cast("long")
+        for kind in pii.KINDS if kind not in pii.BASE_KINDS
+    }
     return marked.select(
         "doc_id",
         *[count.alias(name) for name, count in counts.items()],

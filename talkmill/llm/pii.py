@@ -50,8 +50,8 @@ _TRIED = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone
 
 _SECRET_WORD = r"(?:password|passwd|token|secret|key)"
 _LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+"
-    r"(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,63}+)++",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++"
+    r"(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]++)++",
     "card": r"(?<![0-9])[0-9](?=(?:[ -]?[0-9]){12})(?:[ -]?[0-9])++",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
     "secret": r"(?i)(?<=" + _SECRET_WORD + r"[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})[A-Za-z0-9_+/.-]{8,}+",
@@ -255,7 +255,10 @@ def learn(docs: DataFrame) -> SpanModel:
 
 
 def annotate(docs: DataFrame, model: SpanModel) -> DataFrame:
-    """``docs`` with two more columns: _base and _spans, arrays of (start, place, kind, end) sorted by start and kind."""
+    """``docs`` with two more columns: _base and _spans, arrays of (start, place, kind, end) sorted by start and kind.
+
+    Columns named _base, _spans or _candidates are replaced; ``redact`` keeps them.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumns({"_base": F.array_sort(_base(text)), "_candidates": _candidates(text)})
 
@@ -276,8 +279,11 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans by the first's kind."""
-    marked = annotate(docs, learn(docs))
+    """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans by the first's kind.
+
+    Columns of any name stay: the documents travel as one struct beside what is computed.
+    """
+    marked = annotate(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")), learn(docs))
 
     def walk(state: Column, s: Column) -> Column:
         before = F.substring(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
@@ -292,4 +298,5 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.concat(F.array_join(state["parts"], ""), F.substr(F.col("text"), state["at"] + 1))
 
     text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.aggregate("_spans", start, walk, whole))
-    return marked.withColumn("text", text).select(*docs.columns)
+    rest = [F.col(f"row.`{name}`").alias(name) if name != "text" else text.alias(name) for name in docs.columns]
+    return marked.select(*rest)
