@@ -242,5 +242,8 @@ def score(docs: DataFrame, model: Gam, *keep: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns."""
-    return score(docs, train(docs, labels), *docs.columns).where("_score >= 0.5").drop("_score")
+    """The documents that the classifier does not reject, with all their columns, whatever their names."""
+    names = {f"c{k}": name for k, name in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{name}`").alias(short) for short, name in names.items()], F.col("text"))
+    good = score(rows, train(docs, labels), *names).where("_score >= 0.5")
+    return good.select(*[F.col(short).alias(name) for short, name in names.items()])
