@@ -3,8 +3,8 @@
 Of all suffixes of all documents only those at minimiser positions are kept:
 every window of ``PASSAGE`` words names the smallest hash among its runs of
 ``ANCHOR`` words, so equal windows name equal suffixes wherever they stand, and
-about one word in sixteen begins a kept suffix. The suffixes are ordered by
-their first words and compared with their neighbours of the same beginning:
+about one word in sixteen begins a kept suffix. Suffixes are not sorted: those
+with the same beginning are brought together by hashes of their words:
 
 1. A suffix whose first ``ANCHOR`` words no other document has begins no shared
    passage, and goes.
