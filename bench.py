@@ -27,6 +27,7 @@ HEADLINE = """
     history_all last_message recent_conversations users_from_log sessions_gap latest_state constraint_audit
     detect_language detect_language_simple parse_transcript tokens parse_logs kb_dedup kb_snapshot_diff
     vector_ivf similar_messages translate_lookup users_after_language stream_activity stream_sessions stream_latest_state
+    hybrid_rerank active_sliding_all sql_recent_of_all
 """.split()
 
 

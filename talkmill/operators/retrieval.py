@@ -66,6 +66,7 @@ def prompts(questions: DataFrame, contexts: DataFrame, system_prompt: str = SYST
     """One prompt per question (query_id, query, language) from its context."""
     instruction = lookup(LANGUAGE_INSTRUCTIONS, F.col("language"), LANGUAGE_INSTRUCTIONS["en"])
     name = lookup(LANGUAGE_NAMES, F.col("language"), LANGUAGE_NAMES["en"])
+    # fixed values: the sentences around question and context
     text = F.concat(
         F.lit(f"{system_prompt}\n\n"), instruction,
         F.lit("\n\nQuestion (may be in "), name, F.lit("): "), F.col("query"),
