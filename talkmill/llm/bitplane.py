@@ -26,12 +26,17 @@ an empty file set.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,11 +48,14 @@ from talkmill.session import ship_package
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
-KEPT_WORDS = 600_000
-_STOPS = (b".", b",")
-_BETWEEN = b"\x01"
+KEPT_WORDS = 1_000_000
+_BETWEEN = "\x01"
+# Small letters that lower-casing and composition leave alone, and ASCII signs behind them.
+_LETTERS_AND_SIGNS = re.compile(r"([a-zß-öø-ÿа-џ]+)([!-/:-@\[-`{-~]*)")
 # Bytes of text that are split into words at once.
-SLICE_BYTES = 1 << 20
+GROUP_BYTES = 1 << 23
+# The pattern of a tokenizer whose words can be kept.
+_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def to_planes(ids: np.ndarray, unit: str = "byte") -> list[bytes]:
@@ -77,64 +85,165 @@ def from_planes(planes: list[bytes], count: int, unit: str = "byte") -> np.ndarr
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that lower-cases and never joins across white space, keeping the ids of words it
-    has met. A full stop or comma after a letter is a token of its own, so words are kept without it too."""
+    """Encodes columns of texts, looking every distinct word of a column up once.
+
+    For a tokenizer that lower-cases and never joins across white space (``by_words``), the ids of words it has met
+    are kept in one array, and the ids of texts are gathered from it. Signs behind letters begin a run of their own, so
+    a word of letters and signs is put together from the two. When too many words are kept, those met in one group of
+    texts only are dropped. Any other tokenizer is given whole texts.
+    """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.kept: dict[bytes, bytes] = {}
-        self.stops = {stop: self._ids(stop).tobytes() for stop in _STOPS}
-        (self.between,) = self._ids(_BETWEEN).tolist()  # one id, which only texts with the character can have
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        data, out, at = text.encode(), [], 0
-        if b"<|" not in data:  # special tokens are found before letters are changed
-            data = data.lower()
-        while at < len(data):
-            stop = at + SLICE_BYTES
-            if stop < len(data):
-                # slices end at a blank, so that no word is cut
-                blank = _BLANK.search(data, stop)
-                stop = blank.start() if blank else len(data)
-            out.append(self._encode_words(data[at:stop].split()))
+        self.by_words = splits_at_blanks(definition) and len(self._ids(_BETWEEN)) == 1
+        if self.by_words:
+            (self.between,) = self._ids(_BETWEEN)  # one id, which only texts with the character can have
+            # letters that no normaliser changes need only be cut at blanks
+            parts = json.loads(definition)
+            cut = [{"type": "WhitespaceSplit"}, parts["pre_tokenizer"]["pretokenizers"][1]]
+            parts |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": cut}}
+            self.of_letters = Tokenizer.from_str(json.dumps(parts))
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            mark = parts["model"]["end_of_word_suffix"]
+            self.ends[[k for token, k in vocabulary.items() if mark and token.endswith(mark)]] = True
+            self._keep({"": []})
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        if not self.by_words:
+            for text in texts:
+                yield np.array(self._ids(text.as_py()), "<u4")
+            return
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + GROUP_BYTES, "right")))
+            group = texts.slice(at, stop - at)
+            if stop == at + 1 and sizes[at] - (sizes[at - 1] if at else 0) > GROUP_BYTES:
+                # a very long text is encoded in parts that end at blanks, so that no word is cut
+                parts = [ids for part in _parts(group[0].as_py().encode()) for ids in self._encode_group(part)]
+                yield np.concatenate(parts)
+            else:
+                yield from self._encode_group(group)
             at = stop
-        return b"".join(out)
-
-    def _encode_words(self, words: list[bytes]) -> bytes:
-        kept = self.kept
-        new = [word for word in set(words) if word not in kept]
-        if not new:
-            return b"".join(map(kept.__getitem__, words))
-        bare = {word: word[:-1] for word in new if word[-1:] in _STOPS and word[-2:-1].islower()}
-        needed = [word for word in {*bare.values(), *(word for word in new if word not in bare)} if word not in kept]
-        found = self._encode_each(needed)
-        for word, core in bare.items():
-            found[word] = (found[core] if core in found else kept[core]) + self.stops[word[-1:]]
-        if len(kept) + len(found) <= KEPT_WORDS:
-            kept.update(found)
-            return b"".join(map(kept.__getitem__, words))
-        return b"".join([kept[word] if word in kept else found[word] for word in words])
-
-
-    def _encode_each(self, words: list[bytes]) -> dict[bytes, bytes]:
+
+    def _encode_group(self, texts: pa.Array) -> list[np.ndarray]:
+        # special tokens are found before letters are changed
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(lowered)
+        words = lists.flatten().dictionary_encode()
+        places = self._places(words.dictionary.to_pylist())
+        begins, ends = self.begins[places], self.begins[places + 1]
+        word = words.indices.to_numpy()
+        sizes = (ends - begins)[word]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.arange(before[-1]) + np.repeat(begins[word] - before[:-1], sizes)]
+        cuts = before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """The places of distinct words among the kept ones; new ones are added."""
+        new = [word for word in words if word not in self.kept]
+        if new and len(self.kept) + len(new) > KEPT_WORDS:
+            often = np.flatnonzero(self.groups > 1)
+            often = often if 2 * len(often) < KEPT_WORDS else often[:0]
+            names = list(self.kept)
+            self._keep({"": []} | {names[k]: self._at(k) for k in often})
+            new = [word for word in words if word not in self.kept]
+        if new:
+            gc.disable()  # millions of small lists and no cycles
+            try:
+                found = self._encode_new(new)
+            finally:
+                gc.enable()
+            self.kept |= zip(found, range(len(self.kept), len(self.kept) + len(found)))
+            sizes = np.fromiter(map(len, found.values()), np.int64, len(found))
+            self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found.values()), "<u4", int(sizes.sum()))])
+            self.groups = np.concatenate([self.groups, np.zeros(len(found), np.int32)])
+        places = np.fromiter(map(self.kept.__getitem__, words), np.int64, len(words))
+        self.groups[places] += 1
+        return places
+
+    def _keep(self, words: dict[str, list[int]]) -> None:
+        """Keep these words and no others: the ids of the k-th stand at begins[k] to begins[k + 1]."""
+        self.kept = {word: k for k, word in enumerate(words)}
+        self.begins = np.cumsum([0, *map(len, words.values())], dtype=np.int64)
+        self.ids = np.fromiter(chain.from_iterable(words.values()), "<u4", int(self.begins[-1]))
+        self.groups = np.ones(len(words), np.int32)
+
+    def _at(self, k: int) -> list[int]:
+        return self.ids[self.begins[k] : self.begins[k + 1]].tolist()
+
+    def _encode_new(self, words: list[str]) -> dict[str, list[int]]:
+        """The ids of words that are not kept, and of the letters and signs they are made of."""
+        halves = {word: match.groups() for word in words if (match := _LETTERS_AND_SIGNS.fullmatch(word))}
+        letters = {head for head, _ in halves.values()} - self.kept.keys()
+        rest = ({word for word in words if word not in halves} | {tail for _, tail in halves.values()}) - self.kept.keys()
+        found = self._encode_letters(list(letters)) | self._encode_each(list(rest))
+        for word, pair in halves.items():
+            if pair[1]:
+                head, tail = (found[half] if half in found else self._at(self.kept[half]) for half in pair)
+                found[word] = head + tail
+        return found
+
+    def _encode_letters(self, words: list[str]) -> dict[str, list[int]]:
+        """The ids of words of plain small letters: all are encoded as one text, and a word's last token is marked."""
+        if not words:
+            return {}
+        (encoding,) = self.of_letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = encoding.ids
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) != len(words) or cuts[-1] != len(ids):  # a letter that the tokenizer lacks
+            return self._encode_each(words)
+        return {word: ids[a:b] for word, a, b in zip(words, [0, *cuts], cuts)}
+
+    def _encode_each(self, words: list[str]) -> dict[str, list[int]]:
         """The ids of each word: all are encoded as one text, with a control character between them."""
-        odd = [word for word in words if _BETWEEN in word]
         plain = [word for word in words if _BETWEEN not in word]
-        found = {word: self._ids(word).tobytes() for word in odd}
+        found = {word: self._ids(word) for word in words if _BETWEEN in word}
         if plain:
-            ids = self._ids((b" " + _BETWEEN + b" ").join(plain))
-            cuts = (4 * np.flatnonzero(ids == self.between)).tolist()
-            data = ids.tobytes()
-            found |= zip(plain, (data[a:b] for a, b in zip([0, *(cut + 4 for cut in cuts)], [*cuts, len(data)])))
+            ids = self._ids(f" {_BETWEEN} ".join(plain))
+            cuts = np.flatnonzero(np.array(ids) == self.between).tolist()
+            found |= zip(plain, (ids[a:b] for a, b in zip([0, *(cut + 1 for cut in cuts)], [*cuts, len(ids)])))
         return found
 
-    def _ids(self, text: bytes) -> np.ndarray:
-        (encoding,) = self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)
-        return np.array(encoding.ids, "<u4")
+    def _ids(self, text: str) -> list[int]:
+        (encoding,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return encoding.ids
+
+
+def splits_at_blanks(definition: str) -> bool:
+    """Whether a tokenizers file lower-cases and cuts texts into runs of letters, single digits and runs of other signs,
+    so that no token holds white space and signs behind letters begin a new run."""
+    parts = json.loads(definition)
+    normal, cut = parts.get("normalizer") or {}, parts.get("pre_tokenizer") or {}
+    kinds = [step["type"] for step in normal.get("normalizers", [])]
+    steps = cut.get("pretokenizers", [])
+    return (
+        kinds == ["NFC", "Replace", "Lowercase"]
+        and (normal["normalizers"][1]["pattern"], normal["normalizers"][1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [step["type"] for step in steps] == ["Split", "ByteLevel"]
+        and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": _RUNS}, "Removed", True)
+        and not steps[1]["add_prefix_space"]
+        and not steps[1]["use_regex"]
+        and parts.get("truncation") is None
+        and parts.get("padding") is None
+    )
+
+
+def _parts(text: bytes) -> Iterator[pa.Array]:
+    """A long text as arrays of one part each, cut at blanks."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + GROUP_BYTES)
+        stop = blank.start() if blank else len(text)
+        yield pa.array([text[at:stop].decode()], pa.large_string())
+        at = stop
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -197,11 +306,11 @@ def write(docs: DataFrame, path: str, definition_path: str, end_id: int, unit: s
             _encoders.clear()
             _encoders[key] = WordEncoder(definition.value)
         encoder, out = _encoders[key], None
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for batch in batches:
             out = out or _Blocks(TaskContext.get().partitionId(), unit, batch.column(0).type)
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                yield from out.add(doc_id.as_py(), np.frombuffer(encoder.encode(text.as_py()) + end, "<u4"))
+            for doc_id, ids in zip(batch.column(0), encoder.encode(batch.column(1))):
+                yield from out.add(doc_id.as_py(), np.concatenate([ids, end]))
         if out and out.filled:
             yield out.flush()
 
