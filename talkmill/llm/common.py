@@ -26,3 +26,34 @@ def words(text: Column) -> Column:
 def take_columns(rows: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns, under the operator's own names, so that further columns cannot clash."""
     return rows.select(*[F.col(f"`{column}`").alias(name) for name, column in wanted.items()])
+
+
+# Elements of an array that are folded at once: a fold copies what it has so far for every element.
+CHUNK = 128
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], start: int) -> Column:
+    """For each element of an array of whole numbers, the fold (``step``, from ``start``) of those before it.
+
+    ``step`` is associative with ``start`` as its neutral element. Chunks are folded by themselves and then as wholes.
+    """
+    nothing = F.array().cast("array<int>")
+
+    def fold(array: Column) -> Column:
+        """The folds before each element, and the fold of all as the last one."""
+        grown = lambda state, x: F.struct(
+            step(state["at"], x).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out")
+        )
+        first = F.struct(F.lit(start).cast("int").alias("at"), nothing.alias("out"))
+        return F.aggregate(array, first, grown, lambda state: F.concat(state["out"], F.array(state["at"])))
+
+    def whole(array: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(array) - 1) / CHUNK).cast("int"))
+        chunks = F.transform(places, lambda k: fold(F.slice(array, k * CHUNK + 1, F.lit(CHUNK))))
+        return let(chunks, lambda done: joined(done, fold(F.transform(done, lambda c: F.element_at(c, -1)))))
+
+    def joined(done: Column, before: Column) -> Column:
+        moved = lambda c, b: F.transform(F.slice(c, 1, F.size(c) - 1), lambda x: step(b, x))
+        return F.flatten(F.zip_with(done, F.slice(before, 1, F.size(done)), moved))
+
+    return let(values, lambda array: F.when(F.size(array) == 0, nothing).otherwise(whole(array)))

@@ -14,7 +14,8 @@ at most ``len(KINDS) * 2**5`` rows reach the driver. Texts are read where they
 are stored, once to count and once to mark, and are not shuffled.
 
 Positions count code points, ends are exclusive. Patterns are possessive and
-begin only where a run of their characters begins, so long runs take linear time.
+begin only where a run of their characters begins, so long runs take linear time; positions of many matches in one text
+are summed in chunks.
 
 Defined results: a null text counts as empty and has no span; equal rows each give
 a row; an empty table gives an empty result, and kinds without candidates no model.
@@ -29,7 +30,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import let
+from talkmill.llm.common import CHUNK, let, running
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "ssn")
@@ -79,26 +80,34 @@ _CONTEXT = {
     "ssn": r"(?i)(?:ssn|social|security)",
 }
 _BEFORE = 32
+# Behind the end of any text.
+_FAR = 2**31 - 1
 
 
 def _matches(text: Column, pattern: str, tried: str) -> Column:
     """The matches of a pattern: array of (start, end, match, before)."""
     none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
 
-    def walk(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["part"])
-        end = begin + F.length(x["hit"])
-        found = F.struct(
-            begin.alias("start"), end.alias("end"), x["hit"].alias("match"), F.right(x["part"], F.lit(_BEFORE)).alias("before")
-        )
-        return F.when(x["hit"].isNull(), state).otherwise(
-            F.struct(end.alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
+    def found(parts: Column, hits: Column) -> Column:
+        sizes = F.zip_with(parts, hits, lambda part, hit: F.length(part) + F.length(hit))
+        places = F.arrays_zip(running(sizes, lambda a, b: a + b, 0).alias("at"), parts.alias("part"), hits.alias("hit"))
+        return F.transform(
+            places,
+            lambda x: F.struct(
+                (x["at"] + F.length(x["part"])).alias("start"),
+                (x["at"] + F.length(x["part"]) + F.length(x["hit"])).alias("end"),
+                x["hit"].alias("match"),
+                F.right(x["part"], F.lit(_BEFORE)).alias("before"),
+            ),
         )
 
+    def placed(hits: Column) -> Column:
+        # the part behind the last match is not needed
+        parts = F.slice(F.split(text, pattern), F.lit(1), F.size(hits))
+        return F.when(F.size(hits) == 0, none).otherwise(let(parts, lambda each: found(each, hits)))
+
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.arrays_zip(F.split(text, pattern).alias("part"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    return F.when(text.rlike(tried), F.aggregate(between, start, walk)["found"]).otherwise(none)
+    return F.when(text.rlike(tried), let(hits, placed)).otherwise(none)
 
 
 def _digits(match: Column) -> Column:
@@ -261,15 +270,26 @@ def annotate(docs: DataFrame, model: SpanModel) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumns({"_base": F.array_sort(_base(text)), "_candidates": _candidates(text)})
+    span = lambda s, added: F.struct(
+        s["start"].alias("start"), F.lit(added).alias("added"), s["place"].alias("place"), s["kind"].alias("kind"), s["end"].alias("end")
+    )
 
-    def free(c: Column) -> Column:
-        return model.accepts(c) & ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    def kept(spans: Column) -> Column:
+        """Base spans, and candidates that none before reaches and none behind begins within."""
+        reach = running(F.transform(spans, lambda s: F.when(s["added"], 0).otherwise(s["end"])), F.greatest, 0)
+        begins = F.transform(spans, lambda s: F.when(s["added"], _FAR).otherwise(s["start"]))
+        following = F.reverse(running(F.reverse(begins), F.least, _FAR))
+        placed = F.arrays_zip(spans.alias("span"), reach.alias("reach"), following.alias("following"))
+        free = lambda x: ~x["span"]["added"] | (
+            (x["reach"] <= x["span"]["start"]) & (x["following"] >= x["span"]["end"])
+        )
+        return F.transform(F.filter(placed, free), lambda x: x["span"].dropFields("added"))
 
-    added = F.transform(
-        F.filter("_candidates", free),
-        lambda c: F.struct(c["start"].alias("start"), c["place"].alias("place"), c["kind"].alias("kind"), c["end"].alias("end")),
-    )
-    return found.withColumn("_spans", F.array_sort(F.concat("_base", added))).drop("_candidates")
+    accepted = F.filter("_candidates", model.accepts)
+    base = F.transform("_base", lambda s: span(s, False))
+    both = lambda added: F.array_sort(F.concat(base, F.transform(added, lambda s: span(s, True))))
+    spans = let(accepted, lambda added: F.when(F.size(added) == 0, F.col("_base")).otherwise(let(both(added), kept)))
+    return found.withColumn("_spans", spans).drop("_candidates")
 
 
 def listed(spans: Column) -> Column:
@@ -285,18 +305,29 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     marked = annotate(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")), learn(docs))
 
-    def walk(state: Column, s: Column) -> Column:
-        before = F.substring(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        label = F.when(s["start"] >= state["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], F.array(before, label)).alias("parts")
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def whole(state: Column) -> Column:
-        return F.concat(F.array_join(state["parts"], ""), F.substr(F.col("text"), state["at"] + 1))
+    text, spans = F.col("text"), F.col("_spans")
+    # how far the spans before each one reach
+    reach = running(F.transform(spans, lambda s: s["end"]), F.greatest, 0)
+    placed = F.arrays_zip(
+        F.transform(spans, lambda s: s["start"]).alias("start"), F.transform(spans, lambda s: s["end"]).alias("end"),
+        F.transform(spans, lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("label"), reach.alias("at"),
+    )
 
-    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.aggregate("_spans", start, walk, whole))
+    def pieces(chunk: Column) -> Column:
+        """A chunk's spans with the text before each; the chunk's stretch is cut out once, as cutting counts from the front."""
+        begin = chunk[0]["at"]
+        stretch = F.substring(text, begin + 1, F.element_at(chunk, -1)["end"] - begin)
+        piece = lambda cut: lambda x: F.when(
+            x["start"] >= x["at"], F.concat(F.substring(cut, x["at"] - begin + 1, x["start"] - x["at"]), x["label"])
+        ).otherwise("")
+        return let(stretch, lambda cut: F.array_join(F.transform(chunk, piece(cut)), ""))
+
+    def marked_text(all_spans: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(all_spans) - 1) / CHUNK).cast("int"))
+        parts = F.transform(places, lambda k: let(F.slice(all_spans, k * CHUNK + 1, F.lit(CHUNK)), pieces))
+        last = F.element_at(all_spans, -1)
+        return F.concat(F.array_join(parts, ""), F.substr(text, F.greatest(last["at"], last["end"]) + 1))
+
+    text = F.when(F.size(spans) == 0, text).otherwise(let(placed, marked_text))
     rest = [F.col(f"row.`{name}`").alias(name) if name != "text" else text.alias(name) for name in docs.columns]
     return marked.select(*rest)

@@ -107,3 +107,47 @@ def test_a_long_secret_is_marked_to_its_end(spark):
     found = docs.select(F.explode(pii._candidates(F.col("text"))).alias("c")).select("c.kind", "c.start", "c.end").distinct()
     assert [tuple(row) for row in found.collect()] == [("secret", 6, 606)]
     assert {r.text for r in pii.redact(docs).collect()} == {"token=[SECRET] end"}
+
+
+def redacted_plainly(text, spans):
+    out, at = [], 0
+    for start, _, kind, end in spans:
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_texts_with_very_many_matches(spark):
+    """100,000 matches of base rules and 30,000 candidates in one text, beside small ones: spans and redaction."""
+    import time
+
+    rng = random.Random(7)
+    parts = ["a@b.c ", "é 1.2.3.4 ", "x@y.org, ", "+1 (212) 555-0100 😀", "password: Abcd1234efgh5678 ", "me [at] x.org ", "word\n"]
+    many = "".join(rng.choice(parts) for _ in range(150_000))
+    texts = [many, "", "none", *["".join(rng.choice(parts) for _ in range(n)) for n in (1, 2, 127, 128, 129, 400)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    marked = {r.doc_id: r for r in pii.annotate(docs, pii.learn(docs)).collect()}
+    redacted = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert time.time() - began < 90
+    for k, text in enumerate(texts):
+        base, spans = [tuple(s) for s in marked[k]["_base"]], [tuple(s) for s in marked[k]["_spans"]]
+        assert base == base_spans(text)
+        assert set(base) <= set(spans) and spans == sorted(spans)
+        assert redacted[k] == redacted_plainly(text, spans)
+    assert len(marked[0]["_base"]) > 80_000 and len(marked[0]["_spans"]) > len(marked[0]["_base"]) + 20_000
+
+
+def test_added_spans_are_the_accepted_ones_beside_base_spans(spark):
+    """Every accepted candidate that no base span touches, and no other, on texts where they touch often."""
+    rng = random.Random(9)
+    parts = ["password=", "a@b.c", "1.2.3.4", "+1 212 555 0100", "4539148803436467", " ", "token: ", "abcdefgh1234", "me(at)x.org", "-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.learn(docs)
+    found = pii.annotate(docs, model).withColumn("c", F.filter(pii._candidates(F.col("text")), model.accepts)).collect()
+    for row in found:
+        base = [tuple(s) for s in row["_base"]]
+        free = [tuple(c[:4]) for c in row["c"] if not any(b[0] < c[3] and c[0] < b[3] for b in base)]
+        assert [tuple(s) for s in row["_spans"]] == sorted(base + free)
