@@ -66,35 +66,3 @@ def test_equal_ids_nulls_and_empty_tables(spark, tmp_path, tokenizer):
     assert sum(r.n_tokens for r in got) == got[-1].start + got[-1].n_tokens == 11
     bitplane.write(docs.limit(0), f"{tmp_path}/y", PATH, 2)
     assert bitplane.read(spark, f"{tmp_path}/y").count() == 0
-
-
-def test_words_are_dropped_and_long_texts_cut(tokenizer, monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(bitplane, "KEPT_WORDS", 40)
-    monkeypatch.setattr(bitplane, "GROUP_BYTES", 300)
-    rng = random.Random(5)
-    parts = ["house", "House.", "xq,", "é.", "É,", "\x01", "a\x01b", "<|endoftext|>", "1.", ".", "...", "it's", "\x1c", "\u2003"]
-    parts += ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) + rng.choice([".", ",", "", "!"]) for _ in range(120)]
-    texts = ["".join(rng.choice(parts) + rng.choice([" ", "\n", "\t ", ""]) for _ in range(rng.randint(0, 200))) for _ in range(60)]
-    with open(PATH) as source:
-        encoder = bitplane.WordEncoder(source.read())
-    assert encoder.by_words
-    got = [ids.tolist() for ids in encoder.encode(pa.array(["", *texts, ""]))]
-    assert got == [tokenizer.encode(text, add_special_tokens=False).ids for text in ["", *texts, ""]]
-
-
-def test_other_tokenizers_get_whole_texts(tokenizer):
-    import json
-
-    import pyarrow as pa
-
-    with open(PATH) as source:
-        parts = json.load(source)
-    parts["normalizer"]["normalizers"] = parts["normalizer"]["normalizers"][:1]
-    definition = json.dumps(parts)
-    encoder = bitplane.WordEncoder(definition)
-    assert not encoder.by_words
-    other = Tokenizer.from_str(definition)
-    texts = ["The House. a  b", "", "É\n1"]
-    assert [ids.tolist() for ids in encoder.encode(pa.array(texts))] == [other.encode(t, add_special_tokens=False).ids for t in texts]
