@@ -26,6 +26,7 @@ an empty file set.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -48,6 +49,8 @@ _STOPS = (b".", b",")
 _BETWEEN = b"\x01"
 # Bytes of text that are split into words at once.
 SLICE_BYTES = 1 << 20
+# The pattern of a tokenizer whose words can be kept.
+_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def to_planes(ids: np.ndarray, unit: str = "byte") -> list[bytes]:
@@ -78,7 +81,8 @@ def from_planes(planes: list[bytes], count: int, unit: str = "byte") -> np.ndarr
 
 class WordEncoder:
     """Encodes texts with a tokenizer that lower-cases and never joins across white space, keeping the ids of words it
-    has met. A full stop or comma after a letter is a token of its own, so words are kept without it too."""
+    has met. A full stop or comma after a letter is a token of its own, so words are kept without it too. Any other
+    tokenizer (``by_words`` is false) is given whole texts."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -86,12 +90,16 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.kept: dict[bytes, bytes] = {}
-        self.stops = {stop: self._ids(stop).tobytes() for stop in _STOPS}
-        (self.between,) = self._ids(_BETWEEN).tolist()  # one id, which only texts with the character can have
+        self.by_words = splits_at_blanks(definition) and len(self._ids(_BETWEEN)) == 1
+        if self.by_words:
+            self.stops = {stop: self._ids(stop).tobytes() for stop in _STOPS}
+            (self.between,) = self._ids(_BETWEEN).tolist()  # one id, which only texts with the character can have
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         data, out, at = text.encode(), [], 0
+        if not self.by_words:
+            return self._ids(data).tobytes()
         if b"<|" not in data:  # special tokens are found before letters are changed
             data = data.lower()
         while at < len(data):
@@ -137,6 +145,25 @@ class WordEncoder:
         return np.array(encoding.ids, "<u4")
 
 
+def splits_at_blanks(definition: str) -> bool:
+    """Whether a tokenizers file lower-cases and cuts texts into runs of letters, single digits and runs of other signs,
+    so that no token holds white space and signs behind letters begin a new run."""
+    parts = json.loads(definition)
+    normal, cut = parts.get("normalizer") or {}, parts.get("pre_tokenizer") or {}
+    kinds = [step["type"] for step in normal.get("normalizers", [])]
+    steps = cut.get("pretokenizers", [])
+    return (
+        kinds == ["NFC", "Replace", "Lowercase"]
+        and (normal["normalizers"][1]["pattern"], normal["normalizers"][1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [step["type"] for step in steps] == ["Split", "ByteLevel"]
+        and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": _RUNS}, "Removed", True)
+        and not steps[1]["add_prefix_space"]
+        and not steps[1]["use_regex"]
+        and parts.get("truncation") is None
+        and parts.get("padding") is None
+    )
+
+
 _encoders: dict[int, WordEncoder] = {}
 
 _PIECES = "doc_ids array<{key}>, places array<long>, skipped array<long>, sizes array<int>, totals array<long>"

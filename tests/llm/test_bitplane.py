@@ -66,3 +66,21 @@ def test_equal_ids_nulls_and_empty_tables(spark, tmp_path, tokenizer):
     assert sum(r.n_tokens for r in got) == got[-1].start + got[-1].n_tokens == 11
     bitplane.write(docs.limit(0), f"{tmp_path}/y", PATH, 2)
     assert bitplane.read(spark, f"{tmp_path}/y").count() == 0
+
+
+def test_other_tokenizers_get_whole_texts():
+    import json
+
+    with open(PATH) as source:
+        parts = json.load(source)
+    parts["normalizer"]["normalizers"] = parts["normalizer"]["normalizers"][:1]
+    definition = json.dumps(parts)
+    encoder, other = bitplane.WordEncoder(definition), Tokenizer.from_str(definition)
+    assert not encoder.by_words
+    for text in ("The House. a  b", "", "É\n1"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
+def test_the_given_tokenizer_is_read_by_words():
+    with open(PATH) as source:
+        assert bitplane.WordEncoder(source.read()).by_words
