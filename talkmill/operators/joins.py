@@ -33,14 +33,18 @@ def lookup_join(
     A lookup of at most ``BROADCAST_BYTES`` measured bytes is broadcast. Beyond
     that both sides are shuffled by key, and the rows of the ``hot`` keys (a
     bounded list, columns ``key``) are spread over ``salts`` partitions by
-    ``spread_by`` while their lookup rows are repeated once per salt.
+    ``spread_by`` while their lookup rows are repeated once per salt. With
+    ``salts`` the join has at least as many partitions.
     """
     if lookup_bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(lookup), key)
-    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more, salts = salts is not None and salts > parts, salts or parts
     marks = F.broadcast(hot.select(key).distinct().withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(0).cast("int")
     left = rows.join(marks, key, "left").withColumn("_salt", salt).drop("_hot")
     last = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(0)
     right = lookup.join(marks, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+    if more:
+        left, right = left.repartition(salts, key, "_salt"), right.repartition(salts, key, "_salt")
     return left.join(right, [key, "_salt"]).drop("_salt")

@@ -25,7 +25,8 @@ from talkmill.session import cut_lineage, remove_path, scratch_path
 HOT_TERMS = 2000
 # Terms of questions that are pushed into the scan of the weights; more are only joined.
 PUSHED_TERMS = 2000
-BYTES_PER_BUCKET = 64 * 1024 * 1024
+# A task counts, joins and sorts the terms of one bucket, which takes some forty times the bytes of its texts.
+BYTES_PER_BUCKET = 8 * 1024 * 1024
 SCORE_DIGITS = 6
 # Two rounding steps of a score; a bound has to miss by more to rule a document out.
 MARGIN = 2 * 10.0**-SCORE_DIGITS
@@ -106,7 +107,9 @@ def fit(
     """Fit the model over a collection and write it to ``folder`` or the shared folder.
 
     The texts are shuffled and tokenised once: the token counts are written
-    bucketed by document, and idf and weights are read off that table.
+    bucketed by document, and idf and weights are read off that table. Buckets
+    hold equal amounts of text, so a larger collection has more of them and a
+    task's memory stays the same.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tfidf")
@@ -126,6 +129,9 @@ def fit(
     weighted = lookup_join(
         counts, idf.select("term", "idf"), "term", lookup_bytes=idf_bytes, hot=hot, spread_by="doc_id", salts=buckets
     ).withColumn("w", F.col("tf") * F.col("idf"))
+    if idf_bytes > BROADCAST_BYTES:
+        # the join has dealt the rows by term; back to the buckets they are weighed and written in
+        weighted = weighted.repartition(buckets, "doc_id")
     weights, name = _bucketed(unit_weights(weighted, "doc_id"), f"{folder}/weights", buckets)
     meta = {"idf_bytes": idf_bytes, "postings": postings, "documents": documents, "buckets": buckets}
     spark.createDataFrame([meta]).coalesce(1).write.json(f"{folder}/meta")

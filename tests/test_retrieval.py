@@ -324,3 +324,14 @@ def test_index_without_clusters_few_vectors_or_none(spark):
     few = stored.limit(3)
     assert key(vectors.InvertedLists(few, lists=2).search(wanted, 5)) == key(vectors.vector_topk(few, wanted, 5))
     assert vectors.InvertedLists(stored, lists=4).search(wanted.limit(0), 5).count() == 0
+
+
+def test_buckets_follow_the_bytes_of_the_texts(spark):
+    """A task holds one bucket, so its memory must not grow with the collection."""
+    texts = spark.range(8).select("id", F.expr("repeat('maize soil water ', 250000)").alias("question"))
+    wide = fit(texts)
+    assert wide.buckets >= 4
+    assert len({row.bucket for row in wide.weights.select(F.input_file_name().alias("bucket")).distinct().collect()}) >= 3
+    assert [(row.term, round(row.weight, 6)) for row in wide.weights.where("doc_id = 3").orderBy("term").collect()] == [
+        (term, 0.57735) for term in ("maize", "soil", "water")
+    ]
