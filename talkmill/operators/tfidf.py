@@ -5,20 +5,30 @@ document); any number of ``search`` calls read it. Every row of a document
 lies in one bucket, so the norms need no shuffle after the first one and the
 scores of a (question, document) pair are summed without shuffling pairs: only
 each task's best k per question are.
+
+Questions that can be broadcast meet the documents in blocks: a block of
+documents and a block of questions give one small matrix of scores inside an
+Arrow batch, of which the best k per question are kept. Neither pairs nor
+weights are shuffled or written, and a task's memory does not depend on the
+size of the collection.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.stopwords import ENGLISH_STOP_WORDS
 from talkmill.functions.text import TOKEN
 from talkmill.operators.joins import BROADCAST_BYTES, ROW_BYTES, broadcast_if, lookup_join, measured_bytes
-from talkmill.session import cut_lineage, remove_path, scratch_path
+from talkmill.session import cut_lineage, remove_path, scratch_path, ship_package
 
 # A term is hot with more than 1/HOT_TERMS of all postings, or a quarter of a bucket's share where there are more
 # buckets than that; so many terms can be hot at most.
@@ -33,6 +43,11 @@ MARGIN = 2 * 10.0**-SCORE_DIGITS
 # Pairs of questions and documents that one task may sum up without pruning.
 DIRECT_PAIRS_PER_TASK = 20_000_000
 MIN_DOCUMENTS_PER_BUCKET = 250
+# Documents and questions whose scores are one matrix.
+BLOCK_DOCUMENTS = 1024
+BLOCK_QUESTIONS = 512
+# Products of weights that are summed up at a time.
+PRODUCTS = 1 << 20
 
 
 def term_counts(texts: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> DataFrame:
@@ -188,6 +203,8 @@ def search(model: TfidfModel, questions: DataFrame, k: int = 8) -> DataFrame:
     counts = question_terms(questions)
     size = measured_bytes(counts, "term")
     terms = question_weights(model, counts, size).withColumnRenamed("weight", "wq")
+    if size <= BROADCAST_BYTES:
+        return best_k(_block_scores(model, terms, k), k)
     if _few_pairs(model, counts, size // ROW_BYTES):
         sums = _partial_scores(model, terms, size)
     else:
@@ -195,6 +212,103 @@ def search(model: TfidfModel, questions: DataFrame, k: int = 8) -> DataFrame:
     return best_k(sums.withColumn("score", F.round("score", SCORE_DIGITS)), k)
 
 
+def _block_scores(model: TfidfModel, terms: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score), rounded: the best k of each block of documents for every question.
+
+    The question terms are few enough to broadcast. A document's weights of
+    asked terms are gathered where its bucket lies; terms travel as numbers.
+    """
+    ship_package(terms.sparkSession)
+    terms = cut_lineage(terms)
+    numbers = cut_lineage(terms.select("term").distinct().withColumn("number", F.monotonically_increasing_id()))
+    blocks = max(1, -(-terms.select("query_id").distinct().count() // BLOCK_QUESTIONS))
+    asked = (
+        terms.join(F.broadcast(numbers), "term")
+        .groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("part"))
+        .agg(F.collect_list(F.struct("query_id", "number", "wq")).alias("asked"))
+    )
+    types = {f.name: f.dataType.simpleString() for f in terms.schema.fields + model.weights.schema.fields}
+    texts = (
+        model.weights.join(F.broadcast(numbers), "term")
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("number", "weight")).alias("held"))
+        .mapInArrow(_blocks, f"docs array<struct<doc_id: {types['doc_id']}, held: array<struct<number: long, weight: double>>>>")
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    met = texts.withColumn("part", every).join(F.broadcast(asked), "part")
+    return met.select("docs", "asked").mapInArrow(
+        _best_of_blocks(k), f"query_id {types['query_id']}, doc_id {types['doc_id']}, score double"
+    )
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (doc_id, held) as rows of ``BLOCK_DOCUMENTS``."""
+    for batch in batches:
+        docs = pa.StructArray.from_arrays(batch.columns, names=["doc_id", "held"])
+        for start in range(0, batch.num_rows, BLOCK_DOCUMENTS):
+            some = docs.slice(start, BLOCK_DOCUMENTS)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(some)], pa.concat_arrays([some]))], ["docs"])
+
+
+def _best_of_blocks(k: int):
+    """Arrow function: (block of documents, block of questions) rows to the best k documents of every question."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, asked = batch.columns
+            for at in range(batch.num_rows):
+                query, doc, score = _best_pairs(docs[at].values, asked[at].values, k)
+                yield pa.RecordBatch.from_arrays([query, doc, score], ["query_id", "doc_id", "score"])
+
+    return best
+
+
+def _best_pairs(docs: pa.StructArray, asked: pa.StructArray, k: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Question, document and score of the best k documents with a shared term of every question."""
+    ids, held = docs.flatten()
+    queries = asked.field("query_id").dictionary_encode(null_encoding="encode")
+    n = len(queries.dictionary)
+    question = queries.indices.to_numpy(zero_copy_only=False)
+    by_number = np.argsort(asked.field("number").to_numpy(), kind="stable")
+    question, wq = question[by_number], asked.field("wq").to_numpy()[by_number]
+    numbers, starts, askers = np.unique(asked.field("number").to_numpy()[by_number], return_index=True, return_counts=True)
+
+    # the higher id has the higher place and wins a tie; null comes last
+    place = pc.sort_indices(ids, null_placement="at_start").to_numpy()
+    ids, held = ids.take(pa.array(place)), held.take(pa.array(place))
+    postings = held.flatten()
+    row = np.repeat(np.arange(len(ids)), pc.list_value_length(held).to_numpy())
+    number, weight = postings.field("number").to_numpy(), postings.field("weight").to_numpy()
+    at = np.minimum(np.searchsorted(numbers, number), len(numbers) - 1)
+    known = numbers[at] == number
+    row, weight, at = row[known], weight[known], at[known]
+
+    # each posting meets the questions with its term; a group of postings at a time
+    scores = np.zeros(len(ids) * n)
+    products = np.cumsum(askers[at])
+    cuts = np.searchsorted(products, np.arange(PRODUCTS, products[-1] if len(products) else 0, PRODUCTS), side="right")
+    for group in np.split(np.arange(len(at)), cuts):
+        times = askers[at[group]]
+        first = np.cumsum(times) - times
+        pair = np.repeat(starts[at[group]] - first, times) + np.arange(times.sum())
+        cell = np.repeat(row[group] * n, times) + question[pair]
+        scores += np.bincount(cell, np.repeat(weight[group], times) * wq[pair], len(scores))
+    scores = scores.reshape(len(ids), n).T
+
+    rounded = np.floor(scores * 10.0**SCORE_DIGITS + 0.5)
+    key = np.where(scores > 0, rounded.astype(np.int64) * len(ids) + np.arange(len(ids)), -1)
+    if len(ids) > k:
+        top = np.argpartition(key, len(ids) - k, axis=1)[:, len(ids) - k :]
+    else:
+        top = np.broadcast_to(np.arange(len(ids)), key.shape)
+    query, rank = np.nonzero(np.take_along_axis(key, top, axis=1) >= 0)
+    doc = top[query, rank]
+    return (
+        queries.dictionary.take(pa.array(query)), ids.take(pa.array(doc)),
+        pa.array(rounded[query, doc] / 10.0**SCORE_DIGITS),
+    )
+
+
 def _few_pairs(model: TfidfModel, counts: DataFrame, rows: int) -> bool:
     """Whether scoring every (question, document) pair with a shared term is
     affordable; ``rows`` is at least the number of term counts."""

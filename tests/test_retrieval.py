@@ -335,3 +335,46 @@ def test_buckets_follow_the_bytes_of_the_texts(spark):
     assert [(row.term, round(row.weight, 6)) for row in wide.weights.where("doc_id = 3").orderBy("term").collect()] == [
         (term, 0.57735) for term in ("maize", "soil", "water")
     ]
+
+
+@pytest.mark.parametrize("k", [1, 5, 400])
+def test_block_search_equals_brute_force(spark, monkeypatch, k):
+    """Blocks of documents and questions, sums in several groups, exact copies across blocks."""
+    import random
+
+    pick = random.Random(k)
+    vocabulary = [f"w{i}" for i in range(60)]
+    odds = [1 / (i + 1) for i in range(60)]
+    rows = [(i, " ".join(pick.choices(vocabulary, odds, k=pick.randrange(1, 25))), "a", "s") for i in range(250)]
+    rows += [(250 + i, rows[7][1], "a", "s") for i in range(40)]
+    asked = [(q, " ".join(pick.choices(vocabulary, odds, k=pick.randrange(1, 9)))) for q in range(40)]
+    monkeypatch.setattr(tfidf, "BLOCK_QUESTIONS", 16)
+    model = fit(spark.createDataFrame(rows, "id long, question string, answer string, source string"))
+    found = search(model, spark.createDataFrame(asked, "query_id long, query string"), k)
+    assert as_lists(found) == brute_force(rows, asked, k)
+    # no exchange of the weights and none of the pairs
+    assert "Exchange hashpartitioning(doc_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_pairs_in_small_groups(monkeypatch):
+    """Few products at a time; terms that no question has, null ids and ties."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tfidf, "PRODUCTS", 2)
+    held = lambda *pairs: [{"number": n, "weight": w} for n, w in pairs]
+    docs = pa.array(
+        [{"doc_id": d, "held": h} for d, h in (
+            (4, held((1, 0.6), (9, 0.8))), (7, held((1, 0.6), (5, 0.8))), (None, held((1, 0.6))), (2, held((9, 1.0))),
+            (5, held((5, 1.0))),
+        )],
+        pa.struct({"doc_id": pa.int64(), "held": pa.list_(pa.struct({"number": pa.int64(), "weight": pa.float64()}))}),
+    )
+    asked = pa.array(
+        [{"query_id": q, "number": n, "wq": w} for q, n, w in ((None, 5, 1.0), (1, 1, 0.5), (1, 5, 0.5), (2, 3, 1.0))],
+        pa.struct({"query_id": pa.int64(), "number": pa.int64(), "wq": pa.float64()}),
+    )
+    pairs = lambda k: sorted(zip(*(side.to_pylist() for side in tfidf._best_pairs(docs, asked, k))), key=str)
+    assert pairs(9) == sorted(
+        [(None, 5, 1.0), (None, 7, 0.8), (1, 7, 0.7), (1, 5, 0.5), (1, 4, 0.3), (1, None, 0.3)], key=str
+    )
+    assert pairs(3) == sorted([(None, 5, 1.0), (None, 7, 0.8), (1, 7, 0.7), (1, 5, 0.5), (1, 4, 0.3)], key=str)
