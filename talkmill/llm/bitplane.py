@@ -33,6 +33,7 @@ from collections.abc import Iterator
 from functools import partial
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,11 +45,15 @@ from talkmill.session import ship_package
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
+# No more words are kept once there are so many.
 KEPT_WORDS = 600_000
-_STOPS = (b".", b",")
-_BETWEEN = b"\x01"
-# Bytes of text that are split into words at once.
-SLICE_BYTES = 1 << 20
+_BETWEEN = "\x01"
+# Bytes of text that are split into words at once, texts at most, and runs that are encoded at once.
+SLICE_BYTES = 1 << 22
+GROUP_TEXTS = 10_000
+GROUP_RUNS = 20_000
+# Letters that are whole by themselves and become one other letter in lower case, and signs that begin no contraction.
+_PLAIN = r"\A(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿА-я]*)(?P<signs>[!-&(-/:-@\[-`{-~]*)\z"
 # The pattern of a tokenizer whose words can be kept.
 _RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -81,25 +86,26 @@ def from_planes(planes: list[bytes], count: int, unit: str = "byte") -> np.ndarr
 
 class WordEncoder:
     """Encodes texts with a tokenizer that lower-cases and never joins across white space, keeping the ids of words it
-    has met. A full stop or comma after a letter is a token of its own, so words are kept without it too. Any other
-    tokenizer (``by_words`` is false) is given whole texts."""
+    has met. The distinct words of a group of texts are looked up once. Words of common letters with common signs behind
+    them are cut into these two runs here, and the runs are encoded by the tokenizer's model alone. Any other tokenizer
+    (``by_words`` is false) is given whole texts."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.kept: dict[bytes, bytes] = {}
+        self.kept: dict[str, bytes] = {"": b""}
         self.by_words = splits_at_blanks(definition) and len(self._ids(_BETWEEN)) == 1
         if self.by_words:
-            self.stops = {stop: self._ids(stop).tobytes() for stop in _STOPS}
             (self.between,) = self._ids(_BETWEEN).tolist()  # one id, which only texts with the character can have
+            self.runs, self.ends = _of_runs(definition)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         data, out, at = text.encode(), [], 0
         if not self.by_words:
-            return self._ids(data).tobytes()
+            return self._ids(text).tobytes()
         if b"<|" not in data:  # special tokens are found before letters are changed
             data = data.lower()
         while at < len(data):
@@ -108,43 +114,111 @@ class WordEncoder:
                 # slices end at a blank, so that no word is cut
                 blank = _BLANK.search(data, stop)
                 stop = blank.start() if blank else len(data)
-            out.append(self._encode_words(data[at:stop].split()))
+            out.append(self._encode_words(pa.array([data[at:stop].decode()]))[0].tobytes())
             at = stop
         return b"".join(out)
 
-    def _encode_words(self, words: list[bytes]) -> bytes:
-        kept = self.kept
-        new = [word for word in set(words) if word not in kept]
+    def encode_all(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        """The ids of each text, none of which is null."""
+        lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = 0
+        while begin < len(texts):
+            size = max(1, int(np.searchsorted(np.cumsum(lengths[begin : begin + GROUP_TEXTS]), SLICE_BYTES, side="right")))
+            group = texts.slice(begin, size)
+            if not self.by_words or lengths[begin] > SLICE_BYTES:
+                yield from (np.frombuffer(self.encode(text), "<u4") for text in group.to_pylist())
+            else:
+                special = pc.match_substring(group, "<|")
+                ids, ends = self._encode_words(pc.if_else(special, group, pc.ascii_lower(group)))
+                yield from np.split(ids, ends[:-1])
+            begin += size
+
+    def _encode_words(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's end."""
+        lists = pc.ascii_split_whitespace(texts)  # blanks at a text's ends give empty words
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        cut = pc.extract_regex(words, _PLAIN)
+        plain = cut.is_valid()
+        odd = set(words.filter(pc.invert(plain)).to_pylist())
+        letters = pc.if_else(plain, pc.utf8_lower(cut.field("letters")), words).dictionary_encode()
+        signs = pc.if_else(plain, cut.field("signs"), "").dictionary_encode()
+        runs = self._look_up(letters.dictionary, odd) + self._look_up(signs.dictionary, set())
+        # a word's letters and signs, then each text's words
+        pairs = np.stack([_codes(letters), _codes(signs) + len(letters.dictionary)], axis=1).ravel()
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        ids, counts = _gathered(np.frombuffer(b"".join(runs), "<u4"), sizes, pairs)
+        ids, counts = _gathered(ids, counts.reshape(-1, 2).sum(axis=1), _codes(coded))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return ids, ends[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+
+    def _look_up(self, words: pa.StringArray, odd: set[str]) -> list[bytes]:
+        """The ids of distinct runs, and of words that are none (``odd``)."""
+        words = words.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.kept.get, words))
+        new = [word for word, known in zip(words, ids) if known is None]
         if not new:
-            return b"".join(map(kept.__getitem__, words))
-        bare = {word: word[:-1] for word in new if word[-1:] in _STOPS and word[-2:-1].islower()}
-        needed = [word for word in {*bare.values(), *(word for word in new if word not in bare)} if word not in kept]
-        found = self._encode_each(needed)
-        for word, core in bare.items():
-            found[word] = (found[core] if core in found else kept[core]) + self.stops[word[-1:]]
-        if len(kept) + len(found) <= KEPT_WORDS:
-            kept.update(found)
-            return b"".join(map(kept.__getitem__, words))
-        return b"".join([kept[word] if word in kept else found[word] for word in words])
-
-
-    def _encode_each(self, words: list[bytes]) -> dict[bytes, bytes]:
+            return ids
+        found = self._encode_runs([word for word in new if word not in odd])
+        found |= self._encode_each([word for word in new if word in odd])
+        if len(self.kept) < KEPT_WORDS:
+            self.kept |= found
+        return [found[word] if known is None else known for word, known in zip(words, ids)]
+
+    def _encode_runs(self, runs: list[str]) -> dict[str, bytes]:
+        """The ids of runs that the tokenizer would not cut."""
+        found = {}
+        for at in range(0, len(runs), GROUP_RUNS):
+            part = runs[at : at + GROUP_RUNS]
+            (encoding,) = self.runs.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(encoding.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            data = ids.tobytes()
+            found |= zip(part, (data[a:b] for a, b in zip([0, *ends], ends)), strict=True)
+        return found
+
+    def _encode_each(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each word: all are encoded as one text, with a control character between them."""
         odd = [word for word in words if _BETWEEN in word]
         plain = [word for word in words if _BETWEEN not in word]
         found = {word: self._ids(word).tobytes() for word in odd}
         if plain:
-            ids = self._ids((b" " + _BETWEEN + b" ").join(plain))
+            ids = self._ids(f" {_BETWEEN} ".join(plain))
             cuts = (4 * np.flatnonzero(ids == self.between)).tolist()
             data = ids.tobytes()
             found |= zip(plain, (data[a:b] for a, b in zip([0, *(cut + 4 for cut in cuts)], [*cuts, len(data)])))
         return found
 
-    def _ids(self, text: bytes) -> np.ndarray:
-        (encoding,) = self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)
+    def _ids(self, text: str) -> np.ndarray:
+        (encoding,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(encoding.ids, "<u4")
 
 
+def _codes(coded: pa.DictionaryArray) -> np.ndarray:
+    return coded.indices.to_numpy(zero_copy_only=False)
+
+
+def _gathered(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the pieces that ``codes`` name, one piece behind the other, and their sizes; piece k is the k-th of ``sizes`` ids."""
+    counts = sizes[codes]
+    places = np.repeat((np.cumsum(sizes) - sizes)[codes] - (np.cumsum(counts) - counts), counts)
+    places += np.arange(len(places))
+    return ids[places], counts
+
+
+def _of_runs(definition: str):
+    """A tokenizer of single runs: the model and the spelling of bytes; and for each id whether it ends a run."""
+    from tokenizers import Tokenizer
+
+    parts = json.loads(definition)
+    spelling = parts["pre_tokenizer"]["pretokenizers"][1]
+    parts |= {"normalizer": None, "pre_tokenizer": spelling, "post_processor": None, "added_tokens": []}
+    model = parts["model"]
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    ends[[place for token, place in model["vocab"].items() if token.endswith(model["end_of_word_suffix"])]] = True
+    return Tokenizer.from_str(json.dumps(parts)), ends
+
+
 def splits_at_blanks(definition: str) -> bool:
     """Whether a tokenizers file lower-cases and cuts texts into runs of letters, single digits and runs of other signs,
     so that no token holds white space and signs behind letters begin a new run."""
@@ -159,11 +233,23 @@ def splits_at_blanks(definition: str) -> bool:
         and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": _RUNS}, "Removed", True)
         and not steps[1]["add_prefix_space"]
         and not steps[1]["use_regex"]
+        and all("<|" in token["content"] for token in parts.get("added_tokens") or [])
+        and _ends_runs(parts["model"])
         and parts.get("truncation") is None
         and parts.get("padding") is None
     )
 
 
+def _ends_runs(model: dict) -> bool:
+    """Whether the last token of a run, and only that, is one with the suffix."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    suffix = model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or suffix != "</w>" or model.get("continuing_subword_prefix") or model.get("dropout"):
+        return False
+    return all(sign in model["vocab"] and sign + suffix in model["vocab"] for sign in ByteLevel.alphabet())
+
+
 _encoders: dict[int, WordEncoder] = {}
 
 _PIECES = "doc_ids array<{key}>, places array<long>, skipped array<long>, sizes array<int>, totals array<long>"
@@ -224,11 +310,11 @@ def write(docs: DataFrame, path: str, definition_path: str, end_id: int, unit: s
             _encoders.clear()
             _encoders[key] = WordEncoder(definition.value)
         encoder, out = _encoders[key], None
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for batch in batches:
             out = out or _Blocks(TaskContext.get().partitionId(), unit, batch.column(0).type)
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                yield from out.add(doc_id.as_py(), np.frombuffer(encoder.encode(text.as_py()) + end, "<u4"))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1))):
+                yield from out.add(doc_id, np.concatenate([ids, end]))
         if out and out.filled:
             yield out.flush()
 

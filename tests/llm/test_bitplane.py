@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -84,3 +85,40 @@ def test_other_tokenizers_get_whole_texts():
 def test_the_given_tokenizer_is_read_by_words():
     with open(PATH) as source:
         assert bitplane.WordEncoder(source.read()).by_words
+
+
+def test_groups_of_texts_equal_the_library(tokenizer, monkeypatch):
+    rng = random.Random(5)
+    letters = list("abyzABÉéßÿÀÞЖжйЙΣςİıǅãắ̈") + ["'s", "'", "’", "1", "²", "٣", "中", "😀", "\x01", "\x00"]
+    signs = [".", ",", "!", "$$$", "&&", "<|", "|>", "</w>", "-", "_", "<|endoftext|>", "^`~"]
+    blanks = [" ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", " "]
+    word = lambda: "".join(rng.choices(letters, k=rng.randint(0, 6))) + rng.choice(["", *signs]) + rng.choice(["", "", "a"])
+    texts = ["", " ", *("".join(word() + rng.choice(blanks) for _ in range(rng.randint(0, 40))) for _ in range(400)), ""]
+    with open(PATH) as source:
+        definition = source.read()
+    for size, kept in ((1 << 22, 600_000), (300, 50)):
+        encoder = bitplane.WordEncoder(definition)
+        monkeypatch.setattr(bitplane, "SLICE_BYTES", size)
+        monkeypatch.setattr(bitplane, "KEPT_WORDS", kept)
+        for rows in (pa.array(texts), pa.array(texts).slice(7, 200), pa.array(texts[:1]), pa.array([], pa.string())):
+            wanted = [tokenizer.encode(text, add_special_tokens=False).ids for text in rows.to_pylist()]
+            assert [ids.tolist() for ids in encoder.encode_all(rows)] == wanted
+
+
+def test_common_words_need_only_the_model(tokenizer):
+    with open(PATH) as source:
+        encoder = bitplane.WordEncoder(source.read())
+    encoder.tokenizer = None
+    text = "The house, École naïve. Дом $$$ that&&& a"
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_tokenizers_with_other_marks_get_whole_texts():
+    import json
+
+    with open(PATH) as source:
+        parts = json.load(source)
+    marked = parts | {"added_tokens": [*parts["added_tokens"], parts["added_tokens"][0] | {"id": 49408, "content": "house"}]}
+    unmarked = parts | {"model": parts["model"] | {"end_of_word_suffix": None}}
+    for changed in (marked, unmarked):
+        assert not bitplane.splits_at_blanks(json.dumps(changed))
