@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import ahocorasick
 import numpy as np
@@ -31,6 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.llm.common import parts
 from talkmill.session import ship_package
 
 KEPT_PIECES = 400_000
@@ -59,7 +61,7 @@ class Codec:
             self.ends.add_word(token.decode("latin-1"), (len(token), rank))
         self.ends.make_automaton()
         self._stays: dict[int, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._pieces: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
@@ -82,7 +84,7 @@ class Codec:
 
     def goes_with(self, left: int, right: int) -> bool:
         """Whether merging both tokens' bytes gives these two tokens."""
-        key = (left, right)
+        key = left << 32 | right  # smaller than a tuple
         known = self._pairs.get(key)
         if known is None:
             known = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
@@ -212,16 +214,16 @@ class EncodedText:
         return found
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
+_codecs: WeakKeyDictionary[Broadcast, dict[str, Codec]] = WeakKeyDictionary()
 
 
 def _codec(ranks: Broadcast, pattern: str) -> Codec:
-    """The worker's codec of a broadcast vocabulary, made once per worker."""
-    key = (id(ranks.value), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks.value, pattern)
-    return _codecs[key]
+    """The worker's codec of a broadcast vocabulary, made once per worker; it goes when the worker, in another stage,
+    drops the broadcast."""
+    made = _codecs.setdefault(ranks, {})
+    if pattern not in made:
+        made[pattern] = Codec(ranks.value, pattern)
+    return made[pattern]
 
 
 class ByteBpe:
@@ -238,7 +240,7 @@ class ByteBpe:
 
         def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _codec(ranks, pattern)
-            for batch in batches:
+            for batch in parts(batches):
                 found = [np.frombuffer(codec.text_bytes(x), "<u4") for x in batch.column(1).to_pylist()]
                 offsets = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) for x in found], out=offsets[1:])

@@ -35,7 +35,7 @@ and first; empty tables give an empty result.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -235,7 +235,7 @@ class Searcher:
         alike = self._alike(shingles[start : stop - SHINGLE + 1], item)
         return (start, stop - start, alike) if alike >= self.similarity else None
 
-    def search(self, texts: list[str | None]) -> list[list[tuple]]:
+    def search(self, texts: Iterable[str | None]) -> list[list[tuple]]:
         """For each text its matches (item_id, start_word, n_words, similarity), one per item."""
         out: list[list[tuple]] = []
         group: list[np.ndarray] = []
@@ -340,7 +340,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, radius: int = RADIUS, similar
             searcher = Searcher(*shared.value, often.value)
             for batch in batches:
                 keys = batch.column(0).to_pylist()
-                hits = searcher.search(batch.column(1).to_pylist())
+                hits = searcher.search(text.as_py() for text in batch.column(1))
                 rows = [(key, *hit) for key, matches in zip(keys, hits) for hit in matches]
                 columns = list(zip(*rows)) if rows else [[]] * 5
                 kinds = [batch.column(0).type, None, pa.int64(), pa.int64(), pa.float64()]
@@ -367,7 +367,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def keep(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(*shared.value, often.value)
             for batch in batches:
-                hits = searcher.search(batch.column(at).to_pylist())
+                hits = searcher.search(text.as_py() for text in batch.column(at))
                 yield batch.filter(pa.array([not matches for matches in hits], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import take_columns
+from talkmill.llm.common import parts, take_columns
 from talkmill.session import ship_package
 
 TRAINING_ROWS = 20_000
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Gam:
     texts = take_columns(docs, doc_id="doc_id", text="text").join(F.broadcast(taught), "doc_id")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             x = feature_matrix(["" if text is None else text for text in batch.column(0).to_pylist()])
             arrays = [*map(pa.array, x.T), batch.column(1), batch.column(2)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*FEATURES, "y", "doc_id"])
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Gam, *keep: str) -> DataFrame:
     at = columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             x = feature_matrix(["" if text is None else text for text in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(shared.value.score(x))], names=[*keep, "_score"]
@@ -243,7 +243,8 @@ def score(docs: DataFrame, model: Gam, *keep: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns, whatever their names."""
-    names = {f"c{k}": name for k, name in enumerate(docs.columns)}
-    rows = docs.select(*[F.col(f"`{name}`").alias(short) for short, name in names.items()], F.col("text"))
+    # the text travels once, under its own name
+    names = {"text" if name == "text" else f"c{k}": name for k, name in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{name}`").alias(short) for short, name in names.items()])
     good = score(rows, train(docs, labels), *names).where("_score >= 0.5")
     return good.select(*[F.col(short).alias(name) for short, name in names.items()])
