@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.llm.common import parts
-from talkmill.session import ship_package
+from talkmill.session import ship_package, small_batches
 
 KEPT_PIECES = 400_000
 # White space as the pattern's own engine has it: \s of other engines holds more characters.
@@ -231,6 +231,7 @@ class ByteBpe:
 
     def __init__(self, spark, ranks_path: str, pattern: str):
         ship_package(spark)
+        small_batches(spark)
         self.ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
         self.pattern = pattern
 

@@ -46,7 +46,7 @@ from xxhash import xxh3_64_intdigest
 
 from talkmill.llm.common import take_columns
 from talkmill.llm.shingles import window_hashes
-from talkmill.session import ship_package
+from talkmill.session import ship_package, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -328,6 +328,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, radius: int = RADIUS, similar
     """
     spark = docs.sparkSession
     ship_package(spark)
+    small_batches(spark)
     rows = take_columns(docs, doc_id="doc_id", text="text")
     kinds = {name: frame.schema[name].dataType.simpleString() for frame, name in ((docs, "doc_id"), (benchmark, "item_id"))}
     schema = f"doc_id {kinds['doc_id']}, {MATCH.format(item=kinds['item_id'])}"
@@ -359,6 +360,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no benchmark item, with all their columns; each row is judged where it is read."""
     spark = docs.sparkSession
     ship_package(spark)
+    small_batches(spark)
     often = spark.sparkContext.broadcast(_shared(benchmark))
     for items in _passes(benchmark, "item_id", "text"):
         shared = spark.sparkContext.broadcast((items, RADIUS, SIMILARITY))

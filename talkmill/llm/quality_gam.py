@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.llm.common import parts, take_columns
-from talkmill.session import ship_package
+from talkmill.session import ship_package, small_batches
 
 TRAINING_ROWS = 20_000
 BINS = 32
@@ -194,6 +194,7 @@ def fold(key: Column, parts: int) -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Gam:
     """Fit on at most ``rows`` labelled documents. ``docs``: doc_id, text; ``labels``: doc_id, quality."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     taught = (
         take_columns(labels, doc_id="doc_id", quality="quality")
         .where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
@@ -224,6 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Gam:
 def score(docs: DataFrame, model: Gam, *keep: str) -> DataFrame:
     """The columns ``keep`` of every document and its score (0 to 1) as ``_score``."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     columns = list(dict.fromkeys((*keep, "text")))

@@ -1,7 +1,9 @@
 """The pipeline's stages: columns, effects, and what they leave alone."""
 
 import corpus_pipeline
+import pyarrow as pa
 
+from talkmill import session
 from talkmill.llm import decontaminate, jaccard_join
 from talkmill.sources.tables import table
 
@@ -37,3 +39,36 @@ def test_quality_stage_keeps_what_labels_call_good(spark, data):
     assert good.join(kept, "doc_id").count() > 0.97 * good.count()
     bad = labels.where("quality = 0")
     assert bad.join(kept, "doc_id").count() < 0.1 * bad.count()
+
+
+def batch_bytes(spark):
+    """The sizes of the Arrow batches that 2,000 texts of 10,000 characters and one of 6 million reach a worker in."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["b", "n"])
+
+    rows = spark.range(0, 2001, 1, 1).selectExpr("repeat('some text ', if(id = 2000, 600000, 1000)) text")
+    return [(row.b, row.n) for row in rows.mapInArrow(sizes, "b long, n long").collect()]
+
+
+def test_stages_hand_workers_small_batches(spark, data):
+    docs = table(spark, data, "documents").limit(50)
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "pii":  # without Arrow functions
+            continue
+        spark.conf.unset(session.ARROW_BYTES)
+        stage(spark, docs, data)
+        found = batch_bytes(spark)
+        assert sum(n for _, n in found) == 2001, name
+        sizes = sorted(b for b, _ in found)
+        assert sizes[-2] < 1.1 * session.BATCH_BYTES and sizes[-1] < 1.1 * session.BATCH_BYTES + 6_000_000, name
+
+
+def test_a_size_of_the_session_stays(spark):
+    spark.conf.set(session.ARROW_BYTES, str(1 << 20))
+    try:
+        session.small_batches(spark)
+        assert spark.conf.get(session.ARROW_BYTES) == str(1 << 20)
+    finally:
+        spark.conf.unset(session.ARROW_BYTES)
