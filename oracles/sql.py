@@ -806,9 +806,9 @@ def _statements() -> dict[str, str]:
                    CASE WHEN route <> 'text' THEN NULL WHEN b IN ('/start', 'hello', 'hi') THEN 'welcome'
                         WHEN b = '/help' THEN 'help' ELSE 'question' END AS command, ts AS created_at
             FROM {answered} r JOIN detected d ON d.id = r.event_id
-            -- a declared type has to be one of the audio types, whatever its parameters; ten megabytes at most
+            -- a declared type has to be one of the audio types, whatever its parameters; an upload beyond ten megabytes is refused
             WHERE route <> 'voice' OR ((coalesce(content_type, '') = ''
-                      OR trim(split_part(content_type, ';', 1)) IN {_voice_types}) AND size_bytes <= 10 * 1024 * 1024)""",
+                      OR trim(split_part(content_type, ';', 1)) IN {_voice_types}) AND coalesce(size_bytes, 0) <= 10 * 1024 * 1024)""",
         "routed",
     )
     sql["stream_activity"] = f"""

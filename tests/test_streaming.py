@@ -3,6 +3,8 @@
 import datetime as dt
 import os
 
+from compare import database, difference
+from oracles.sql import ORACLES
 from pyspark.sql import functions as F
 
 from talkmill.operators.messages import route_messages
@@ -139,3 +141,16 @@ def test_refused_uploads_are_not_stored(spark):
     declared = {r.event_id: (r.content_type, r.size_bytes) for r in inbound(spark.read.schema(SCHEMA).parquet(path)).collect()}
     assert declared[11][0] == "video/mp4" and declared[9][1] == 10485760 and declared[27][1] == 10485761
     assert 4 in stored and 9 in stored and 11 not in stored and 27 not in stored
+
+
+def test_uploads_of_unknown_size_are_stored_by_code_and_sql(spark):
+    folder = scratch_path(spark, "test-unknown-size")
+    # voice messages without a value have no size; 11 is refused for its type, 27 for its size
+    rows = [(i, T0 + dt.timedelta(minutes=i), 1, "click", None, "{}") for i in (1, 2, 4, 6, 8, 9, 11, 12, 27)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{folder}/rows")
+    part = next(name for name in os.listdir(f"{folder}/rows") if name.endswith(".parquet"))
+    os.link(f"{folder}/rows/{part}", f"{folder}/events.parquet")
+    found = runner.result_of(spark, jobs.ingest(runner.events_stream(spark, folder)), "unknown-size")
+    assert {4, 6, 8, 9} <= {r.id for r in found.where("message_type = 'voice'").collect()}
+    assert {11, 27}.isdisjoint(r.id for r in found.collect())
+    assert difference(found, database(folder), ORACLES["stream_ingest"]) == ""
