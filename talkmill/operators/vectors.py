@@ -410,7 +410,9 @@ class InvertedLists:
         for group in range(groups):
             asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == group) if groups > 1 else queries
             questions = _rows(asked, "query_id", F.lit(None), F.lit(0), width).repartition(1).mapInArrow(_pack_queries, _QUERY_BLOCK)
-            corpus = self.table.select(F.lit(0).cast("long").alias("part"), "ids", "owners", "vectors", "n")
+            # a generated part: the optimiser would take a literal one for a join without a key
+            every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(0).cast("long"))).alias("part")
+            corpus = self.table.select(every, "ids", "owners", "vectors", "n")
             part = _meet(corpus, questions, k, 0)
             found = part if found is None else found.unionByName(part)
         return found
